@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from kestrel.llm import tokens, warc
+from kestrel.llm import embeddings, language, lines, packing, sharding, simhash, tokens, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_packing": packing.op2_packing,
+    "op3_simhash": simhash.op3_simhash,
+    "op4_sharding": sharding.op4_sharding,
+    "op5_language": language.op5_language,
+    "op7_embeddings": embeddings.op7_embeddings,
+    "op8_lines": lines.op8_lines,
     "op9_tokens": tokens.op9_tokens,
 }
 ORACLES = {
     "op1_warc": warc.SQL,
+    "op4_sharding": sharding.sql(),
+    "op7_embeddings": embeddings.SQL,
+    "op8_lines": lines.SQL,
 }
