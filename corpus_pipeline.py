@@ -10,6 +10,8 @@ in kestrel.llm state: a null or letterless text is in no language and goes first
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from kestrel.llm.common import materialise, table, tune
 from kestrel.llm.decontaminate import remove_contaminated
 from kestrel.llm.language import reject_unknown
@@ -29,13 +31,7 @@ def language_stage(spark, docs, sf_dir):
 def lines_stage(spark, docs, sf_dir):
     """Documents without their repeated lines; n_chars follows the text where it is there."""
     kept = dedup_lines(docs, "doc_id", "text")
-    return kept.withColumn("n_chars", kept.text.isNotNull().cast("long") * _length(kept.text)) if "n_chars" in kept.columns else kept
-
-
-def _length(text):
-    from pyspark.sql import functions as F
-
-    return F.coalesce(F.char_length(text), F.lit(0)).cast("long")
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in kept.columns else kept
 
 
 def simhash_stage(spark, docs, sf_dir):

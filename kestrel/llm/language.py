@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from kestrel.llm.common import materialise, table, tune
+from kestrel.llm.common import materialise, table, tune, worker_cache
 
 #: Slots of the filter table and so the bound on what is gathered and broadcast (a byte a slot and 8 languages).
 SLOT_BITS = 20
@@ -31,14 +31,7 @@ def _symbols(text: str):
     import numpy as np
 
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = ((points >= 97) & (points <= 122)) | (points >= 0xAA)
-    if (high := points >= 0x2000).any():  # dashes, quotes, symbols and the like; tested one by one
-        at = np.flatnonzero(high)
-        unique, back = np.unique(points[at], return_inverse=True)
-        letter[at] = np.array([chr(p).isalpha() for p in unique.tolist()], bool)[back]
-    if (low := (points >= 0xAA) & (points < 0xC0) | (points == 0xD7) | (points == 0xF7)).any():
-        at = np.flatnonzero(low)
-        letter[at] = np.isin(points[at], (0xAA, 0xB5, 0xBA))
+    letter = worker_cache("letters", lambda: np.array([chr(p).isalpha() for p in range(0x110000)]))[points]
     out = np.zeros(len(points) + 2, np.uint32)
     out[1:-1] = np.where(letter, points, 32)
     out[0] = out[-1] = 32
