@@ -216,7 +216,7 @@ def read_chunks(archives: DataFrame, chunk_bytes: int = 1 << 20, with_data: bool
                     yield flush(rows)
 
     paths = archives.select("path")
-    return paths.repartition("path").mapInArrow(read, CHUNKS)
+    return paths.repartition(max(1, paths.count())).mapInArrow(read, CHUNKS)  # a task an archive, not coalesced
 
 
 def records_of(chunks: DataFrame) -> DataFrame:
