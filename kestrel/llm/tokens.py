@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import shared_path, table, tune, worker_cache
+from kestrel.llm.common import materialise, shared_path, table, tune, worker_cache
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
 
@@ -94,7 +94,8 @@ def count_tokens(df: DataFrame, id_col: str, text_col: str, path: str, cache_pat
     misses = distinct.join(stored().select("digest").hint("shuffle_hash"), "digest", "left_anti")
     misses.mapInArrow(_encoder(path, version), CACHE).write.mode("append").parquet(cache_path)
     sized = keyed.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return sized.join(stored(), "digest").select("id", "n_bytes", "n_tokens")
+    counts = materialise(stored(), "token-counts")  # as a table, so that a digest of many rows can be split in the join
+    return sized.join(counts, "digest").select("id", "n_bytes", "n_tokens")
 
 
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
