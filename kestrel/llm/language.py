@@ -22,7 +22,7 @@ SLOT_BITS = 20
 HASHES = 3
 SHARE = 0.25
 GRAM = 3
-#: Documents of a lower score are not in any learned language.
+#: Documents of which any filters hold a smaller share are in no learned language; mixed ones are in several.
 REJECT_BELOW = 0.5
 
 
@@ -146,13 +146,13 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Lang
     return LanguageModel(languages, masks, rates)
 
 
-def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """df with the predicted language and a score from 0 to 1 at its end.
+def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", out: tuple[str, str, str] = ("lang_pred", "score", "known")) -> DataFrame:
+    """df with the predicted language, a score and a known share from 0 to 1 at its end.
 
-    The score is the share of a text's n-grams that the winner's filter holds,
-    false positives taken off; ties go to the first name.  Texts that are null or
-    have no letter, and all texts under a model without languages, are ``und``
-    with score 0.
+    The score is the share of a text's n-grams that the winner's filter holds, the
+    known share that which any language's filter holds, false positives taken off
+    both; ties go to the first name.  Texts that are null or have no letter, and all
+    texts under a model without languages, are ``und`` with score and share 0.
     """
     spark = df.sparkSession
     tune(spark)
@@ -162,13 +162,15 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", out: t
         import numpy as np
 
         languages, masks, rates = shared.value
+        any_rate = float((masks != 0).mean() ** HASHES)
         for batch in batches:
-            names, scores = [], []
+            names, scores, known = [], [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 codes = _grams(text) if languages else None
                 if codes is None:
                     names.append("und")
                     scores.append(0.0)
+                    known.append(0.0)
                     continue
                 hit = None
                 for slots in _slots(codes):
@@ -178,11 +180,13 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", out: t
                 k = int(np.argmax(share))
                 names.append(languages[k])
                 scores.append(float(share[k]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "__k_lang", "__k_score"])
+                known.append(min(1.0, max(0.0, (float((hit != 0).mean()) - any_rate) / max(1e-12, 1 - any_rate))))
+            columns = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], "__k_lang", "__k_score", "__k_known"])
 
     packed = df.select("*", F.col(text_col).cast("string").alias("__k_text"))
-    schema = StructType([*df.schema.fields]).add("__k_lang", StringType()).add("__k_score", DoubleType())
-    return packed.mapInArrow(predict, schema).withColumnsRenamed({"__k_lang": out[0], "__k_score": out[1]})
+    schema = StructType([*df.schema.fields]).add("__k_lang", StringType()).add("__k_score", DoubleType()).add("__k_known", DoubleType())
+    return packed.mapInArrow(predict, schema).withColumnsRenamed(dict(zip(("__k_lang", "__k_score", "__k_known"), out)))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,6 +204,9 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reject_unknown(df: DataFrame, lang_col: str = "lang", text_col: str = "text", below: float = REJECT_BELOW) -> DataFrame:
-    """df without the documents that are in none of the languages learned from it."""
-    found = identify(df, train(df, lang_col, text_col), text_col, ("__k_lang", "__k_score"))
-    return found.where((F.col("__k_lang") != "und") & (F.col("__k_score") >= below)).select(*df.columns)
+    """df without the documents that are in none of the languages learned from it.
+
+    Documents in several of them stay.
+    """
+    found = identify(df, train(df, lang_col, text_col), text_col, ("__k_lang", "__k_score", "__k_known"))
+    return found.where((F.col("__k_lang") != "und") & (F.col("__k_known") >= below)).select(*(f"`{c}`" for c in df.columns))
