@@ -14,23 +14,32 @@ import numpy as np
 DISTRIBUTIONS = ("rademacher", "gaussian", "normal", "uniform", "laplace", "sparse_rademacher")
 
 
+#: A digest holds this many 32-bit numbers.
+WORDS = 8
+
+
 def uniforms(seed: int, stream: str, rows, cols) -> np.ndarray:
-    """Uniform numbers in (0, 1); rows and cols are counts or index sequences."""
+    """Uniform numbers in (0, 1); rows and cols are counts or index sequences.
+
+    Cell (i, j) is word j mod 8 of the SHA-256 digest of "seed|stream|i|j div 8".
+    """
     rows = range(rows) if isinstance(rows, int) else rows
-    cols = range(cols) if isinstance(cols, int) else cols
-    digest = hashlib.md5
-    out = [[int(digest(b"%b|%d|%d" % (head, i, j)).hexdigest()[:8], 16) for j in cols] for head in [f"{seed}|{stream}".encode()] for i in rows]
-    return (np.array(out, float).reshape(len(rows), len(cols)) + 0.5) / 2.0**32
+    cols = np.arange(cols) if isinstance(cols, int) else np.asarray(cols, np.int64)
+    blocks, back = np.unique(cols // WORDS, return_inverse=True)
+    head, digest = f"{seed}|{stream}".encode(), hashlib.sha256
+    raw = b"".join([digest(b"%b|%d|%d" % (head, i, b)).digest() for i in rows for b in blocks.tolist()])
+    words = np.frombuffer(raw, ">u4").reshape(len(rows), len(blocks) * WORDS)
+    return (words[:, back * WORDS + cols % WORDS] + 0.5) / 2.0**32
 
 
 def sql_uniform(seed: int, stream: str, i: str, j: str) -> str:
     """The same number as DuckDB SQL, with SQL expressions for i and j."""
-    return f"((CAST('0x' || substr(md5('{seed}|{stream}|' || CAST({i} AS VARCHAR) || '|' || CAST({j} AS VARCHAR)), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0)"
+    return f"((CAST('0x' || substr(sha256('{seed}|{stream}|' || CAST({i} AS VARCHAR) || '|' || CAST(({j}) // {WORDS} AS VARCHAR)), 1 + {WORDS} * (({j}) % {WORDS}), 8) AS BIGINT) + 0.5e0) / 4294967296e0)"
 
 
 def spark_uniform(seed: int, stream: str, i: str, j: str) -> str:
     """The same number as Spark SQL."""
-    return f"((cast(conv(substr(md5(concat('{seed}|{stream}|', cast({i} as string), '|', cast({j} as string))), 1, 8), 16, 10) as bigint) + 0.5D) / 4294967296D)"
+    return f"((cast(conv(substr(sha2(concat('{seed}|{stream}|', cast({i} as string), '|', cast(({j}) div {WORDS} as string)), 256), cast(1 + {WORDS} * (({j}) % {WORDS}) as int), 8), 16, 10) as bigint) + 0.5D) / 4294967296D)"
 
 
 def matrix(seed: int, stream: str, rows, cols, distribution="rademacher", p_sparse: float = 0.0) -> np.ndarray:

@@ -89,7 +89,7 @@ def batch_matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten()
     if flat.null_count:
         raise ValueError("features must be finite numbers")
-    x = flat.to_numpy().astype(float)
+    x = flat.to_numpy(zero_copy_only=False).astype(float, copy=False)
     if n and (len(x) % n or (np.diff(column.offsets.to_numpy()) != len(x) // n).any()):
         raise ValueError("features must have one width")
     x = x.reshape(n, -1) if n else np.zeros((0, 0))

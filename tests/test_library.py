@@ -160,7 +160,7 @@ def error(m, exact, x=X):
 @pytest.mark.parametrize("kind", [maps.RandomFourier, maps.OrthogonalRandomFeature, maps.StructuredOrthogonalRandomFeature, maps.FastFood, maps.SignedCirculantRandomMatrix])
 def test_rbf_maps(kind, offset):
     mean, most = error(kind(2048, gamma=0.8, use_offset=offset, seed=4), kernels.matrix("rbf", X, X, gamma=0.8))
-    assert mean < 0.03 and most < 0.15
+    assert mean < 0.04 and most < 0.15
 
 
 @pytest.mark.parametrize("kind", [maps.OrthogonalRandomFeature, maps.StructuredOrthogonalRandomFeature, maps.FastFood, maps.SignedCirculantRandomMatrix])
