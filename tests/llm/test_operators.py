@@ -431,7 +431,7 @@ def passages(n, seed):
     return [" ".join(stock[rng.integers(5)] if rng.random() < 0.4 else word() for _ in range(int(rng.integers(15, 60)))) for _ in range(n)]
 
 
-def test_contamination(spark, empty):
+def test_contamination(spark, empty, monkeypatch):
     items, filler = passages(25, 1), passages(400, 2)
     rng = np.random.default_rng(3)
     rows, want = [], {}
@@ -454,6 +454,9 @@ def test_contamination(spark, empty):
     benchmark = spark.createDataFrame([*enumerate(items), (77, None), (78, "")], "item_id long, text string")
     got = {r.doc_id: r.item_id for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
     assert got == want | {None: 2}
+    monkeypatch.setattr(decontaminate, "ITEMS", 10)  # a benchmark larger than one slice gives the same
+    sliced = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark)
+    assert {r.doc_id: r.item_id for r in sliced.collect()} == got
     kept = decontaminate.remove_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark)
     assert kept.count() == len(rows) - len(want)
     assert decontaminate.contaminated(empty, benchmark).count() == 0
