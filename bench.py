@@ -57,17 +57,27 @@ def main() -> None:
         return maps.map_batches(df, "features", "s", m, lambda k, x: (k.apply(x) ** 2).sum(axis=1), maps.DoubleType()).select("id", "s")
 
     train = lines.select("id", "features", F.when(F.col("id") % 3 == 0, 1.0).otherwise(-1.0).alias("label"))
-    queries = {
-        "fourier_emb_1024": lambda: maps.RandomFourier(1024, 0.5, True, 1).fit(64).transform(emb),
-        "fastfood_emb_1024": lambda: maps.FastFood(1024, 0.5, use_offset=True, seed=1).fit(64).transform(emb),
-        "structured_orthogonal_emb_1024": lambda: maps.StructuredOrthogonalRandomFeature(1024, 0.5, use_offset=True, seed=1).fit(64).transform(emb),
-        "circulant_emb_1024": lambda: maps.SignedCirculantRandomMatrix(1024, 0.5, use_offset=True, seed=1).fit(64).transform(emb),
-        "tensor_sketch_emb_1024": lambda: maps.TensorSketch(1024, 2, 1).fit(64).transform(emb),
-        "fourier_lineitem_256": lambda: norm(maps.RandomFourier(256, 0.5, True, 1).fit(4), lines),
-        "fastfood_wide_d1024_8192": lambda: norm(maps.FastFood(8192, 0.001, use_offset=True, seed=1).fit(1024), wide),
-        "structured_wide_d1024_8192": lambda: norm(maps.StructuredOrthogonalRandomFeature(8192, 0.001, use_offset=True, seed=1).fit(1024), wide),
-        "circulant_wide_d1024_8192": lambda: norm(maps.SignedCirculantRandomMatrix(8192, 0.001, use_offset=True, seed=1).fit(1024), wide),
-        "hadamard_wide_d1024": lambda: maps.map_batches(wide, "features", "s", c._Hadamard(1024).fit(1024), lambda k, x: k.apply(x).sum(axis=1), maps.DoubleType()).select("id", "s"),
+    # fitted beforehand: a fit draws a model of fixed size, a transform is what grows with the rows
+    offset = dict(use_offset=True, seed=1)
+    on64 = {k: m.fit(64) for k, m in {
+        "fourier_emb_1024": maps.RandomFourier(1024, 0.5, True, 1), "fastfood_emb_1024": maps.FastFood(1024, 0.5, **offset),
+        "structured_orthogonal_emb_1024": maps.StructuredOrthogonalRandomFeature(1024, 0.5, **offset),
+        "circulant_emb_1024": maps.SignedCirculantRandomMatrix(1024, 0.5, **offset), "tensor_sketch_emb_1024": maps.TensorSketch(1024, 2, 1),
+    }.items()}
+    widths = (256, 1024)
+    shapes = {"fourier": lambda: maps.RandomFourier(8192, 0.001, True, 1), "fastfood": lambda: maps.FastFood(8192, 0.001, **offset), "structured": lambda: maps.StructuredOrthogonalRandomFeature(8192, 0.001, **offset), "circulant": lambda: maps.SignedCirculantRandomMatrix(8192, 0.001, **offset)}
+    on_wide = {f"{k}_wide_d{d}_8192": (make().fit(d), d) for k, make in shapes.items() for d in widths}
+    cut = {d: wide.select("id", F.slice("features", 1, d).alias("features")).cache() for d in widths}
+    for df in cut.values():
+        df.count()
+    lines = lines.cache()
+    lines.count()
+    on4, had = maps.RandomFourier(256, 0.5, True, 1).fit(4), c._Hadamard(1024).fit(1024)
+    queries = {k: (lambda m=m: m.transform(emb)) for k, m in on64.items()}
+    queries |= {k: (lambda m=m, d=d: norm(m, cut[d])) for k, (m, d) in on_wide.items()}
+    queries |= {
+        "fourier_lineitem_256": lambda: norm(on4, lines),
+        "hadamard_wide_d1024": lambda: maps.map_batches(wide, "features", "s", had, lambda k, x: k.apply(x).sum(axis=1), maps.DoubleType()).select("id", "s"),
         "gram_rbf": lambda: c.QUERIES["kernel_rbf"](spark, SF_DIR),
         "approximation_error": lambda: c.QUERIES["rbf_approximation_error"](spark, SF_DIR),
         "learned_weights_kl": lambda: c.QUERIES["lkrf_kl"](spark, SF_DIR),

@@ -21,7 +21,7 @@ from kestrel.operators import linear, lkrf, maps
 from kestrel.operators.doubly import doubly
 from kestrel.operators.losses import LOSSES, sigmoid_column
 from kestrel.sources.features import from_array, to_coo, to_dense, to_sparse
-from kestrel.sources.tables import read
+from kestrel.sources.tables import read, spread
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -675,7 +675,7 @@ def lines4(spark, sf) -> DataFrame:
     """Order lines as four scaled numbers; the key repeats, so results are aggregates."""
     t = read(spark, sf, "lineitem")
     cells = [F.col("l_quantity") / 50.0, F.col("l_extendedprice") / 105000.0, F.col("l_discount") / 0.1, F.col("l_tax") / 0.08]
-    return t.select(F.col("l_orderkey").alias("id"), F.array(*cells).alias("features"))
+    return spread(t.select(F.col("l_orderkey").alias("id"), F.array(*cells).alias("features")))
 
 
 def _lineitem_margin(spark, sf):
