@@ -28,6 +28,7 @@ from kestrel.operators.doubly import doubly
 from kestrel.operators.losses import CLASSIFIER_LOSSES, LOSSES, REGRESSOR_LOSSES, sigmoid_column
 from kestrel.operators.maps import FeatureMap, RBFSampler, SparseMB, _width, map_batches
 from kestrel.sources.features import batch_matrix, binary_target, numeric_target, width_of
+from kestrel.sources.tables import materialise
 
 RATES = ("constant", "pegasos", "inv_scaling", "optimal", "original")
 
@@ -275,6 +276,17 @@ class _Linear:
             rows.unpersist()
         return self._finish()
 
+    def resume(self, d: int, t: int, flat: np.ndarray):
+        """Take up training from a stored state (``state_.t`` and ``state_.pack()``) over rows of d features."""
+        if self.p.normalize:
+            raise ValueError("a normalised model is not resumed: its moments are those of its first rows")
+        m = self.p.transformer or RBFSampler(seed=self.p.seed)
+        self.map_ = m if hasattr(m, "d") else m.fit(d)
+        self.solver_, self.mean_, self.std_ = self.solver_class(self.p), None, None
+        self.state_ = self.solver_.start(self.map_.width).unpack(np.asarray(flat, float), t)
+        self.p.warm_start = True
+        return self._finish()
+
     def _finish(self):
         w = self.solver_.coefficients(self.state_)
         self.coef_, self.intercept_, self.t_ = w[:-1], float(w[-1]), self.state_.t
@@ -437,8 +449,6 @@ class _Keyed(_Linear):
                 flat = np.append(s.pack(), total / rows_seen)
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(flat), pa.string()), pa.array(np.arange(len(flat))), pa.array(flat * rows_seen), pa.array(np.full(len(flat), float(rows_seen)))], ["k", "j", "v", "n"])
 
-        from kestrel.sources.tables import materialise
-
         out = materialise(joined.select("k", "__x", "__y", "m").mapInArrow(run, "k string, j long, v double, n double"), "keyed-epoch")
         self.memory_ = out.where("j = -1").select(F.col("k").cast(rows.schema["__id"].dataType).alias("__id"), F.col("v").alias("m"))
         means = out.where("j >= 0").groupBy("j").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow()
@@ -580,11 +590,12 @@ class _Doubly(_Linear):
 
 
 class _SparseMB(_Linear):
-    """Linear model on SparseMB cells with a tri-diagonal smoothness penalty, by primal coordinate descent.
+    """Linear model on SparseMB cells with a tri-diagonal smoothness penalty, in the primal.
 
     Every round one aggregation gives the curvature Z'CZ and the gradient, whose
-    size is the map's width; cyclic coordinate steps on that quadratic run on the
-    driver until they stall, with a halving line search over one more aggregation.
+    size is the map's width.  The driver goes to the minimum of that quadratic, the
+    point where coordinate descent on it ends, and halves the step until the
+    objective falls, each try one more aggregation.
     """
 
     defaults = dict(alpha=1.0, eps=1e-4, n_components=1000, mode="full_batch")
@@ -605,7 +616,7 @@ class _SparseMB(_Linear):
             value, curve, g = self._quadratic(rows, alpha, h)
             for _ in range(self.p.max_iter):
                 w = np.append(self.coef_, self.intercept_)
-                step = _coordinate_steps(curve, g, self.p.fit_intercept)
+                step = _minimiser(curve, g, self.p.fit_intercept)
                 size = 1.0
                 while True:
                     self.coef_, self.intercept_ = (w + size * step)[:-1], float((w + size * step)[-1])
@@ -653,18 +664,11 @@ class _SparseMB(_Linear):
         return value + 0.5 * alpha * float(self.coef_ @ h @ self.coef_), curve, g
 
 
-def _coordinate_steps(curve, g, intercept: bool, rounds: int = 200) -> np.ndarray:
-    step, rest = np.zeros(len(g)), g.copy()
-    diagonal = np.maximum(np.diag(curve), 1e-12)
-    for _ in range(rounds):
-        most = 0.0
-        for j in range(len(g) if intercept else len(g) - 1):
-            move = -rest[j] / diagonal[j]
-            step[j] += move
-            rest += move * curve[:, j]
-            most = max(most, abs(move))
-        if most < 1e-10:
-            break
+def _minimiser(curve, g, intercept: bool) -> np.ndarray:
+    """The step to the minimum of the quadratic, where cyclic coordinate steps would end."""
+    n = len(g) if intercept else len(g) - 1
+    step = np.zeros(len(g))
+    step[:n] = np.linalg.lstsq(curve[:n, :n], -g[:n], rcond=None)[0]
     return step
 
 

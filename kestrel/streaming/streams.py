@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kestrel.operators.maps import FeatureMap
 
@@ -24,19 +26,42 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+STATE = "number long, t long, d int, flat array<double>"
+
+
+def last_state(spark: SparkSession, path: str):
+    """The newest stored row of a training state, None where there is none."""
+    try:
+        rows = spark.read.schema(STATE).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return rows.orderBy(F.desc("number")).first()
+
+
 def fit_stream(stream: DataFrame, model, checkpoint: str, features: str = "features", label: str = "label", id_col: str = "id"):
     """Fit a linear model micro-batch by micro-batch, each a warm start from the last state.
 
-    A micro-batch seen again after a restart is skipped by its number, so that a row
-    moves the state once.
+    After each micro-batch the state is appended, under the batch's number, to a
+    table beside the checkpoint.  A restarted stream takes up the newest state and
+    skips batches it already holds, so a row moves the state once.
     """
-    model.p.warm_start = True
+    spark, path = stream.sparkSession, f"{checkpoint.rstrip('/')}-model"
+    kept = last_state(spark, path)
     done = {"batch": -1}
+    if kept is not None:
+        model.resume(kept.d, kept.t, kept.flat)
+        done["batch"] = kept.number
+    model.p.warm_start = True
 
     def step(batch: DataFrame, number: int) -> None:
-        if number > done["batch"] and not batch.isEmpty():
-            model.fit(batch, features, label, id_col)
-            done["batch"] = number
+        if number <= done["batch"] or batch.isEmpty():
+            return
+        model.fit(batch, features, label, id_col)
+        row = [(number, model.state_.t, model.map_.d, model.state_.pack().tolist())]
+        spark.createDataFrame(row, STATE).coalesce(1).write.mode("append").parquet(path)
+        done["batch"] = number
 
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
