@@ -56,3 +56,9 @@ def lower_ascii(col):
     """Lower-case A-Z alone; the quick way for texts that are all ASCII."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, upper, lower))
+
+
+def drop_intermediates(spark: SparkSession) -> bool:
+    """Delete all intermediate tables in the shared folder, once no result built on them is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/kestrel")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
