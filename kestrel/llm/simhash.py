@@ -69,21 +69,27 @@ def _ball(bits: int, radius: int) -> list[int]:
     return [sum(1 << b for b in flips) for r in range(radius + 1) for flips in combinations(range(bits), r)]
 
 
-def near_pairs(distinct: DataFrame, radius: int = 4, segments: int | None = None) -> DataFrame:
+def near_pairs(distinct: DataFrame, radius: int = 4, segments: int | None = None, ball: int | None = None, rotations: tuple[int, ...] = (0,)) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints (column fp) at most ``radius`` bits apart.
 
-    A pair can come more than once, from several segments.
+    A pair can come more than once, from several segments.  All pairs are found
+    unless ``ball``, the radius searched within a segment, is set below
+    ``radius // segments``; ``rotations`` then adds segmentations of the rotated
+    fingerprint, which find most of what one segmentation misses.
     """
     if segments is None:
         segments = 3 if distinct.count() < WIDE_FROM else 2
+    ball = radius // segments if ball is None else ball
     edges = [64 * k // segments for k in range(segments + 1)]
     index, probe = [], []
-    for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        bits = hi - lo
-        cut = f"(shiftrightunsigned(fp, {lo}) & {(1 << bits) - 1}L)"
-        masks = "array(" + ",".join(f"{m}L" for m in _ball(bits, radius // segments)) + ")"
-        index.append(f"struct({k} AS k, {cut} AS v)")
-        probe.append(f"transform(filter(transform({masks}, m -> {cut} ^ m), v -> v <= {cut}), v -> struct({k} AS k, v AS v))")
+    for turn in rotations:
+        turned = f"(shiftleft(fp, {turn}) | shiftrightunsigned(fp, {64 - turn}))" if turn else "fp"
+        for lo, hi in zip(edges, edges[1:]):
+            k, bits = len(index), hi - lo
+            cut = f"(shiftrightunsigned({turned}, {lo}) & {(1 << bits) - 1}L)"
+            masks = "array(" + ",".join(f"{m}L" for m in _ball(bits, ball)) + ")"
+            index.append(f"struct({k} AS k, {cut} AS v)")
+            probe.append(f"transform(filter(transform({masks}, m -> {cut} ^ m), v -> v <= {cut}), v -> struct({k} AS k, v AS v))")
     left = distinct.selectExpr("fp AS a", f"explode(flatten(array({', '.join(probe)}))) AS s").selectExpr("a", "s.k", "s.v")
     right = distinct.selectExpr("fp AS b", f"explode(array({', '.join(index)})) AS s").selectExpr("b", "s.k AS k2", "s.v AS v2")
     close = (F.col("k") == F.col("k2")) & (F.col("v") == F.col("v2")) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
@@ -117,11 +123,63 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Near copies of the stage: words of a shingle, least Jaccard similarity, and the distance searched for them.
+SHINGLE, SIMILAR, SEARCHED = 5, 0.8, 12
+
+
+def similar_pairs(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
+    """Those of the pairs (a, b) of ids whose texts' sets of word shingles have the Jaccard similarity.
+
+    Only texts that are in a pair are turned into sets.  Ids must be unique.
+    """
+
+    def shingles(batches):
+        import numpy as np
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+                grams = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+                out.append(np.unique(np.array([xxh64_intdigest(g, 42) & 0xFFFFFFFF for g in grams], "<u4")).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "grams"])
+
+    def compare(batches):
+        import numpy as np
+
+        for batch in batches:
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                common = len(np.intersect1d(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), assume_unique=True))
+                if common >= least * ((len(x) + len(y)) // 4 - common):
+                    keep.append(i)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
+
+    ids = pairs.select(F.col("a").alias("__k_id")).unionByName(pairs.select(F.col("b").alias("__k_id"))).distinct()
+    texts = df.select(F.col(id_col).cast("long").alias("__k_id"), F.col(text_col).cast("string").alias("text")).join(ids.hint("shuffle_hash"), "__k_id", "left_semi")
+    sets = materialise(texts.mapInArrow(shingles, "id long, grams binary").dropDuplicates(["id"]), "shingle-sets")
+    joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return joined.mapInArrow(compare, "a long, b long")
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one document of each near-duplicate group, that of the smallest id.
+    """df with one document, that of the smallest id, of each near-duplicate group.
 
-    Rows that share an id are one document.  A null id stays only where its group
-    has no id.
+    First the operator's own components go down to one document.  Of these, pairs
+    up to SEARCHED bits apart whose shingle sets are SIMILAR are near copies as
+    well; that wider search looks one bit around segments in two segmentations, so
+    it finds most pairs of such a distance, not surely all.  Rows that share an id
+    are one document.  A null id stays only where its group has no id.
     """
-    gone = near_duplicates(df, id_col, text_col).where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__k_id")).distinct()
+    found = materialise(near_duplicates(df, id_col, text_col), "near-duplicates")
+    gone = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select("id")
+    stay = materialise(found.where("id = component_id").select("id", "fp").distinct(), "representatives")
+    wide = stay.count() < 1 << 24
+    pairs = near_pairs(stay.select("fp"), SEARCHED, 4 if wide else 3, 1 if wide else 2, (0, 8)).where("a < b").distinct()
+    named = pairs.join(stay.select(F.col("fp").alias("a"), F.col("id").alias("ia")), "a").join(stay.select(F.col("fp").alias("b"), F.col("id").alias("ib")), "b")
+    named = materialise(named.select(F.col("ia").alias("a"), F.col("ib").alias("b")), "candidate-pairs")
+    groups = connected_components(similar_pairs(named, df, id_col, text_col))
+    gone = gone.unionByName(groups.where("node <> component").select(F.col("node").alias("id"))).select(F.col("id").alias("__k_id")).distinct()
     return df.join(gone.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__k_id")), "left_anti")

@@ -29,6 +29,10 @@ def raw_documents():
             lines.insert(2, items[k % 6])
         rows.append((k, "\n".join(lines), lang, f"src{k % 3}", 0))
     rows += [(200 + k, rows[k][1], rows[k][2], "copy", 0) for k in range(10)]
+    for k in range(20, 60):  # near copies: one word of about fifty another
+        w = rows[k][1].split(" ")
+        w[len(w) // 2] = "ba"
+        rows.append((400 + k, " ".join(w), rows[k][2], "near", 0))
     rows += [(300, "zzq xxv wwj kkz qqx " * 20, None, "junk", 0), (301, None, "aa", "null", 0), (302, "", "bb", "empty", 0), (303, "123 456 !?", "bb", "signs", 0)]
     return rows, items
 
@@ -47,6 +51,12 @@ def staged(spark, tmp_path_factory):
     return sf, [*inputs, docs], items
 
 
+def jaccard(x, y, width=5):
+    x, y = (t.encode().lower().split() for t in (x, y))
+    x, y = ({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (x, y))
+    return len(x & y) / len(x | y)
+
+
 def texts(df):
     return {r.doc_id: r.text for r in df.collect()}
 
@@ -71,13 +81,20 @@ def test_simhash_leaves_one_of_each_group(staged):
     prints = {d: brute_print(t) for d, t in before.items()}
     ids = sorted(before)
     root = brute_components(ids, [(a, b) for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= 4])
-    assert set(after) == set(root.values()) and len(after) < len(before)
+    alone = sorted(set(root.values()))
+    similar = [(a, b) for a in alone for b in alone if a < b and jaccard(before[a], before[b]) >= 0.8]
+    ideal = set(brute_components(alone, similar).values())
+    copies = set(alone) - ideal
+    assert ideal <= set(after) <= set(alone)  # nothing without a near copy goes
+    assert len(set(after) - ideal) <= 0.2 * len(copies) and copies  # the wider search finds most of them
 
 
 def test_decontamination_drops_the_leaks(staged):
     before, after = texts(staged[1][3]), texts(staged[1][4])
     leaks = {d for d, t in before.items() if any(i in t for i in staged[2])}
-    assert leaks and set(before) - set(after) == leaks
+    gone = set(before) - set(after)
+    edited = {d for d in before if 400 <= d < 500 and (d - 400) % 15 == 7}  # leaks with one word changed
+    assert leaks and leaks <= gone <= leaks | edited
 
 
 def test_packing_covers_every_token(staged):
