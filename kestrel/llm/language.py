@@ -94,10 +94,10 @@ def _count(batches):
                 unique, n = np.unique(codes, return_counts=True)
                 held.setdefault(lang, []).append((unique, n))
                 size += len(unique)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 held = {k: [(c, n)] for k, c, n in merged()}
                 size = sum(len(p[0][0]) for p in held.values())
-                if size > 1_000_000:
+                if size > 500_000:
                     yield from flush()
                     held, size = {}, 0
     yield from flush()
