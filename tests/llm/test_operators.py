@@ -461,3 +461,17 @@ def test_contamination(spark, empty, monkeypatch):
     assert kept.count() == len(rows) - len(want) - 1  # and the row without an id
     assert decontaminate.contaminated(empty, benchmark).count() == 0
     assert decontaminate.contaminated(empty, benchmark.limit(0)).count() == 0
+
+
+def test_long_items_are_found(spark):
+    rng = np.random.default_rng(9)
+    filler = passages(200, 4)
+    item = lambda n: " ".join(" ".join(passages(n // 15 + 1, int(rng.integers(1 << 30)))).split()[:n])
+    items = [item(n) for n in (1, 4, 15, 33, 100, 200, 400, 1000)]
+    rows = [(i, " ".join([*(filler[k] for k in rng.choice(200, 6)), text, *(filler[k] for k in rng.choice(200, int(rng.integers(6))))])) for i, text in enumerate(items)]
+    rows += [(100 + i, " ".join(filler[k] for k in rng.choice(200, 40))) for i in range(40)]
+    half = items[-1].split()
+    rows += [(200, " ".join(half[:600]))]  # too little of it
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: (r.item_id, r.lcs) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark.where("item_id > 1")).collect()}
+    assert got == {i: (i, 1.0) for i in range(2, len(items))}
