@@ -475,3 +475,14 @@ def test_long_items_are_found(spark):
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {r.doc_id: (r.item_id, r.lcs) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark.where("item_id > 1")).collect()}
     assert got == {i: (i, 1.0) for i in range(2, len(items))}
+
+
+def test_many_items_of_common_words_are_found(spark):
+    rng = np.random.default_rng(10)
+    words = np.array(["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(3000)])
+    prose = lambda n: " ".join(words[(3000 * rng.random(n) ** 2).astype(int)])
+    items = [prose(40) for _ in range(1500)]
+    rows = [(i, f"{prose(150)} {items[i * 20]} {prose(150)}" if i < 60 else prose(300)) for i in range(160)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: (r.item_id, r.lcs, round(r.cosine, 9)) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert got == {i: (20 * i, 1.0, 1.0) for i in range(60)}
