@@ -3,10 +3,13 @@
 Equal vectors are one class.  A first neighbour graph comes from short blocks of
 classes sorted by random sign codes; NN-descent then compares neighbours of
 neighbours, pivot by pivot, until few lists change.  Edges at the threshold are
-verified in double precision.  Lists that are full of links are enlarged to all
-of their component, compared in blocks of which only counts leave, so a group of
-any size is counted whole.  Recall is audited against brute force for a bounded
-query sample; below the target another round with new codes follows.
+verified in double precision and give components.  Lists are cut, so rounds with
+new codes follow in which vectors look for links to other components alone: a full
+list hides none of these, and two tight groups meet.  A round also joins what brute
+force finds for a bounded query sample.  Only a round without any new link is the
+last, so links are sought until a fresh search knows them all, be they rare or
+many.  Links are then counted within components, all pairs in blocks of which only
+counts leave, so a group of any size is counted whole.
 """
 
 from __future__ import annotations
@@ -22,8 +25,10 @@ from kestrel.llm.graph import connected_components
 NEIGHBOURS, REVERSE, BLOCK, TABLES = 8, 8, 256, 10
 CODE_BITS = 24
 ITERATIONS = 3
-#: Audit: queries of the sample, wanted recall, rounds at most.
-AUDIT, RECALL, ROUNDS = 400, 0.99, 4
+#: Queries that brute force answers each round.
+AUDIT = 400
+#: What two vectors in half precision can change a cosine by.
+HALF = 0.001
 CHUNK = 512
 
 
@@ -65,50 +70,73 @@ def _edge_batch(u, v, sim):
     return pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(sim.astype(np.float32))], ["u", "v", "sim"])
 
 
-def code_blocks(classes: DataFrame, dim: int, round_no: int) -> DataFrame:
-    """Edges of the first graph: the best neighbours within blocks of rows sorted by sign codes."""
+def _best(nodes, x):
+    """The NEIGHBOURS best edges of every row of a block."""
+    import numpy as np
+
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    k = min(NEIGHBOURS, len(x) - 1)
+    if k < 1:
+        return None
+    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    return _edge_batch(np.repeat(nodes, k), nodes[top].ravel(), np.take_along_axis(s, top, axis=1).ravel())
+
+
+def _across(nodes, x, components, threshold):
+    """Edges of a block's rows to other components: the best where it is a link for sure, else all that may be."""
+    import numpy as np
+
+    s = x @ x.T
+    s[components[:, None] == components] = -2
+    top = s.argmax(axis=1)
+    sure = s[np.arange(len(s)), top] >= threshold + HALF
+    i, j = np.nonzero((s >= threshold - HALF) & ~sure[:, None])
+    i, j = np.concatenate([np.flatnonzero(sure), i]), np.concatenate([top[sure], j])
+    return _edge_batch(nodes[i], nodes[j], s[i, j]) if len(i) else None
+
+
+def code_blocks(classes: DataFrame, dim: int, round_no: int, tables_no: int = TABLES, threshold: float | None = None) -> DataFrame:
+    """Edges within blocks of rows sorted by sign codes: the best neighbours of the first
+    graph, or, with a threshold, links across the components (column component)."""
 
     def codes(batches):
         import numpy as np
 
-        planes = np.random.default_rng(1000 + round_no).standard_normal((dim, TABLES * CODE_BITS)).astype(np.float32)
+        planes = np.random.default_rng(1000 + round_no).standard_normal((dim, tables_no * CODE_BITS)).astype(np.float32)
         weights = 1 << np.arange(CODE_BITS - 1, -1, -1)
         for batch in batches:
             x = _matrix(batch.column(1), "<f2", dim).astype(np.float32)
-            bits = ((x @ planes) > 0).reshape(len(x), TABLES, CODE_BITS)
+            bits = ((x @ planes) > 0).reshape(len(x), tables_no, CODE_BITS)
             code = bits @ weights
-            for t in range(TABLES):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(code[:, t].astype(np.int64)), batch.column(0), batch.column(1)], ["t", "code", "node", "half"])
+            for t in range(tables_no):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(code[:, t].astype(np.int64)), *batch.columns], ["t", "code", "node", "half", "component"])
 
     def search(batches):
         import numpy as np
 
-        def best(nodes, x):
-            s = x @ x.T
-            np.fill_diagonal(s, -2)
-            k = min(NEIGHBOURS, len(x) - 1)
-            if k < 1:
-                return None
-            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            return _edge_batch(np.repeat(nodes, k), nodes[top].ravel(), np.take_along_axis(s, top, axis=1).ravel())
+        def block(n):
+            return _best(nodes[:n], x[:n]) if threshold is None else _across(nodes[:n], x[:n], components[:n], threshold)
 
-        nodes, x, tables = np.zeros(0, np.int64), np.zeros((0, dim), np.float32), np.zeros(0, np.int32)
+        nodes, x, tables, components = np.zeros(0, np.int64), np.zeros((0, dim), np.float32), np.zeros(0, np.int32), np.zeros(0, np.int64)
         for batch in batches:
             nodes = np.concatenate([nodes, batch.column(2).to_numpy()])
             tables = np.concatenate([tables, batch.column(0).to_numpy()])
             x = np.concatenate([x, _matrix(batch.column(3), "<f2", dim).astype(np.float32)])
+            components = np.concatenate([components, batch.column(4).to_numpy()])
             while len(nodes) >= 2 * BLOCK:
                 n = int((tables[:BLOCK] == tables[0]).sum())  # a block ends with its table
-                if (out := best(nodes[:n], x[:n])) is not None:
+                if (out := block(n)) is not None:
                     yield out
-                nodes, x, tables = nodes[n:], x[n:], tables[n:]
+                nodes, x, tables, components = nodes[n:], x[n:], tables[n:], components[n:]
         while len(nodes):
             n = int((tables == tables[0]).sum())
-            if (out := best(nodes[:n], x[:n])) is not None:
+            if (out := block(n)) is not None:
                 yield out
-            nodes, x, tables = nodes[n:], x[n:], tables[n:]
+            nodes, x, tables, components = nodes[n:], x[n:], tables[n:], components[n:]
 
-    rows = classes.select("node", "half").mapInArrow(codes, "t int, code long, node long, half binary")
+    component = F.col("node") if threshold is None else F.col("component")
+    rows = classes.select("node", "half", component.alias("component")).mapInArrow(codes, "t int, code long, node long, half binary, component long")
     return rows.repartitionByRange("t", "code", "node").sortWithinPartitions("t", "code", "node").mapInArrow(search, _EDGES)
 
 
@@ -169,31 +197,23 @@ def _verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
 
 
-def _audit(classes: DataFrame, edges: DataFrame, threshold: float, round_no: int) -> float:
-    """Share of the sample's links, by brute force, whose ends the found edges connect directly or in one component."""
-    sample = classes.orderBy(F.xxhash64("node", F.lit(round_no))).limit(AUDIT).select("node", "unit").toArrow()
-    if not sample.num_rows:
-        return 1.0
-    ids, raw = sample.column("node").to_pylist(), sample.column("unit").to_pylist()
-    queries = classes.sparkSession.sparkContext.broadcast((ids, raw))
+def _missed(classes: DataFrame, threshold: float, round_no: int) -> DataFrame:
+    """(u, v): links of a query sample, by brute force, whose ends are in different components."""
+    sample = classes.orderBy(F.xxhash64("node", F.lit(round_no))).limit(AUDIT).select("node", "unit", "component").toArrow()
+    queries = classes.sparkSession.sparkContext.broadcast(tuple(c.to_pylist() for c in sample.columns))
 
     def search(batches):
         import numpy as np
 
-        q_ids, q_raw = queries.value
+        q_ids, q_raw, q_components = queries.value
         dim = len(q_raw[0]) // 8
-        q, q_nodes = np.frombuffer(b"".join(q_raw)).reshape(-1, dim), np.array(q_ids)
+        q, q_nodes, q_of = np.frombuffer(b"".join(q_raw)).reshape(-1, dim), np.array(q_ids), np.array(q_components)
         for batch in batches:
-            nodes = batch.column(0).to_numpy()
-            i, j = np.nonzero(q @ _matrix(batch.column(1), "<f8", dim).T >= threshold)
-            keep = q_nodes[i] != nodes[j]
-            yield pa.RecordBatch.from_arrays([pa.array(q_nodes[i][keep]), pa.array(nodes[j][keep])], ["q", "w"])
+            nodes, of = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            i, j = np.nonzero((q @ _matrix(batch.column(1), "<f8", dim).T >= threshold) & (q_of[:, None] != of))
+            yield pa.RecordBatch.from_arrays([pa.array(q_nodes[i]), pa.array(nodes[j])], ["u", "v"])
 
-    truth = classes.select("node", "unit").mapInArrow(search, "q long, w long")
-    of = edges.select("node", "component")
-    hit = truth.join(of.toDF("q", "cq"), "q", "left").join(of.toDF("w", "cw"), "w", "left")
-    n, found = hit.agg(F.count("*"), F.count_if(F.col("cq") == F.col("cw"))).first()
-    return found / n if n else 1.0
+    return classes.select("node", "unit", "component").mapInArrow(search, "u long, v long")
 
 
 def _class_counts(members: DataFrame, threshold: float) -> DataFrame:
@@ -253,21 +273,26 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["node", "unit", "copies", "half"])
 
         part = materialise(part.select("node", "unit", "copies").mapInArrow(halve, "node long, unit binary, copies long, half binary"), "half-vectors")
-        graph, total = None, max(1, part.count())
-        for round_no in range(ROUNDS):
-            fresh = code_blocks(part, dim, round_no)
-            graph = materialise(_top(fresh if graph is None else graph.unionByName(fresh), NEIGHBOURS), "graph")
-            for _ in range(ITERATIONS):
-                better = materialise(_top(graph.unionByName(_descend(graph, part, dim)), NEIGHBOURS), "graph")
-                changed = better.join(graph, ["u", "v"], "left_anti").count()
-                graph = better
-                if changed < 0.01 * NEIGHBOURS * total:
-                    break
-            near = graph.where(F.col("sim") >= threshold - 0.005).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-            links = materialise(_verified(near, part, threshold), "links")
-            found = materialise(connected_components(links, "u", "v"), "components")
-            if _audit(part, found, threshold, round_no) >= RECALL:
+        total = part.count()
+        graph = materialise(_top(code_blocks(part, dim, 0, TABLES), NEIGHBOURS), "graph")
+        for _ in range(ITERATIONS):
+            better = materialise(_top(graph.unionByName(_descend(graph, part, dim)), NEIGHBOURS), "graph")
+            changed = better.join(graph, ["u", "v"], "left_anti").count()
+            graph = better
+            if changed < 0.01 * NEIGHBOURS * total:
                 break
+        near = graph.where(F.col("sim") >= threshold - 0.005).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        links, round_no = materialise(_verified(near, part, threshold), "links"), 0
+        found = materialise(connected_components(links, "u", "v"), "components")
+        while True:
+            round_no += 1
+            known = part.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            near = code_blocks(known, dim, round_no, TABLES, threshold).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+            new = materialise(_verified(near, part, threshold).unionByName(_missed(known, threshold, round_no)), "links")
+            if new.isEmpty():
+                break
+            links = links.unionByName(new)
+            found = materialise(connected_components(links, "u", "v"), "components")
         labels.append(found)
         counts.append(_class_counts(found.join(part, "node"), threshold))
     known = classes.select("node", "key", "first_id", "copies")

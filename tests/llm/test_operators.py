@@ -347,6 +347,21 @@ def test_embedding_links(spark):
     assert got == want
 
 
+def test_tight_groups_linked_across(spark):
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x)
+    a = unit(rng.standard_normal(64))
+    b = rng.standard_normal(64)
+    b = unit(b - a * (a @ b))
+    other = 0.965 * a + np.sqrt(1 - 0.965**2) * b
+    rows = [unit(centre + 0.1 * unit(rng.standard_normal(64)) * rng.random()) for centre in (a, other) for _ in range(20)]
+    rows += [rng.standard_normal(64) for _ in range(400)]
+    data = [(i, [float(v) for v in x]) for i, x in enumerate(rows)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    want = brute_links(data)
+    assert got == want and {want[i][1] for i in range(40)} == {0}
+
+
 def test_embeddings_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
