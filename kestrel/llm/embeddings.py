@@ -70,6 +70,11 @@ def _edge_batch(u, v, sim):
     return pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(sim.astype(np.float32))], ["u", "v", "sim"])
 
 
+def _tables(total: int) -> int:
+    """Code tables of a round: more for more rows, as blocks stay as they are."""
+    return TABLES * max(1, -(-total.bit_length() // 16))
+
+
 def _best(nodes, x):
     """The NEIGHBOURS best edges of every row of a block."""
     import numpy as np
@@ -274,7 +279,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
         part = materialise(part.select("node", "unit", "copies").mapInArrow(halve, "node long, unit binary, copies long, half binary"), "half-vectors")
         total = part.count()
-        graph = materialise(_top(code_blocks(part, dim, 0, TABLES), NEIGHBOURS), "graph")
+        graph = materialise(_top(code_blocks(part, dim, 0, _tables(total)), NEIGHBOURS), "graph")
         for _ in range(ITERATIONS):
             better = materialise(_top(graph.unionByName(_descend(graph, part, dim)), NEIGHBOURS), "graph")
             changed = better.join(graph, ["u", "v"], "left_anti").count()
@@ -287,7 +292,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         while True:
             round_no += 1
             known = part.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            near = code_blocks(known, dim, round_no, TABLES, threshold).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+            near = code_blocks(known, dim, round_no, _tables(total), threshold).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
             new = materialise(_verified(near, part, threshold).unionByName(_missed(known, threshold, round_no)), "links")
             if new.isEmpty():
                 break

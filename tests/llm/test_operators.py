@@ -362,6 +362,27 @@ def test_tight_groups_linked_across(spark):
     assert got == want and {want[i][1] for i in range(40)} == {0}
 
 
+def test_rare_links_are_sought_until_a_search_finds_no_more(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    rows = [rng.standard_normal(32) for _ in range(600)]
+    rows += [x + 0.2 * rng.standard_normal(32) for x in rows[:12]]
+    data = [(i, [float(v) for v in x]) for i, x in enumerate(rows)]
+    search = embeddings.code_blocks
+
+    def half(classes, dim, round_no, *more):  # a round finds half of the pairs, as where blocks are small for the rows
+        return search(classes, dim, round_no, *more).where(F.pmod(F.xxhash64(F.col("u") + F.col("v")), F.lit(2)) == round_no % 2)
+
+    monkeypatch.setattr(embeddings, "code_blocks", half)
+    monkeypatch.setattr(embeddings, "ITERATIONS", 0)
+    monkeypatch.setattr(embeddings, "AUDIT", 1)  # a sample without a link
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    assert got == brute_links(data) and sum(n for n, _ in got.values()) > 12
+
+
+def test_rounds_grow_with_the_rows():
+    assert embeddings._tables(50_000) == embeddings.TABLES < embeddings._tables(10**7)
+
+
 def test_embeddings_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
