@@ -25,7 +25,7 @@ WIDE_FROM = 1 << 23
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, width: int = 4) -> DataFrame:
-    """(id, fp) with the 64-bit SimHash of every whole text.
+    """(id, fp, version) with the 64-bit SimHash and another hash of every whole text.
 
     Words are runs without ASCII white space after lower-casing A-Z; features are
     all word n-grams of ``width``, repeats included; shorter texts have one
@@ -59,10 +59,15 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, width: int = 4) -> D
                 for block in range(0, len(h), 1 << 16):
                     total += np.unpackbits(h[block : block + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
                 out[i] = np.packbits(total * 2 > len(h), bitorder="little").view("<i8")[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), batch.column(2)], ["id", "fp", "version"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(compute, "id long, fp long")
+    text = F.col(text_col).cast("string")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), _version(text).alias("version"))
+    return rows.mapInArrow(compute, "id long, fp long, version long")
+
+
+def _version(text):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _ball(bits: int, radius: int) -> list[int]:
@@ -97,7 +102,7 @@ def near_pairs(distinct: DataFrame, radius: int = 4, segments: int | None = None
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4) -> DataFrame:
-    """(id, fp, component_id): the smallest id that links of ``radius`` bits reach.
+    """(id, fp, version, component, component_id): the smallest id that links of ``radius`` bits reach.
 
     Rows with a null id take part in links and get the component of their
     fingerprint, null where it has no other id.
@@ -108,8 +113,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     joined = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     joined = materialise(joined, "fingerprint-components")
     roots = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_print = joined.join(roots, "component").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("id", "fp", "component_id")
+    of_print = joined.join(roots, "component").select("fp", "component", "component_id")
+    return prints.join(of_print, "fp").select("id", "fp", "version", "component", "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,8 +128,58 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near copies of the stage: words of a shingle, least Jaccard similarity, and the distance searched for them.
-SHINGLE, SIMILAR, SEARCHED = 5, 0.8, 12
+#: Near copies of the stage: words of a shingle and least Jaccard similarity.
+SHINGLE, SIMILAR = 5, 0.8
+#: Documents (about) in which common shingles are looked for, and how many of these are put last at most.
+SAMPLE, COMMON = 5_000, 100_000
+
+
+def shared_prefixes(df: DataFrame, id_col: str, text_col: str, width: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
+    """Pairs (a, b), a < b, of ids whose texts can have the Jaccard similarity of shingle sets; none that has it is missed.
+
+    Shingles have one order for all texts, common ones last.  Two sets so similar
+    share a shingle among the first (1 - least) of each.  Which are common comes
+    from a sample; it decides the work, not the result.  Ids must be unique.
+    """
+
+    def hashes(text):
+        import numpy as np
+        from xxhash import xxh64_intdigest
+
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        grams = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+        return np.unique(np.array([xxh64_intdigest(g, 42) for g in grams], "<u8").view("<i8"))
+
+    def every(batches):
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(hashes(text))], ["gram"])
+
+    def prefixes(batches):
+        import numpy as np
+
+        last = shared.value
+        for batch in batches:
+            grams, ids, sizes = [np.zeros(0, np.int64)], [], []
+            for text in batch.column(1).to_pylist():
+                h = hashes(text)
+                late = np.isin(h, last)
+                first = np.concatenate([h[~late], h[late]])[: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1]
+                grams.append(first)
+                ids.append(len(first))
+                sizes.append(len(h))
+            ids = np.array(ids, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.repeat(batch.column(0).to_numpy(), ids)), pa.array(np.repeat(np.array(sizes, np.int32), ids))], ["gram", "id", "size"])
+
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    share = max(1, texts.count() // SAMPLE)
+    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).mapInArrow(every, "gram long").groupBy("gram").count().where("count > 2")
+    common = sample.orderBy(F.desc("count"), "gram").limit(COMMON).select("gram").toArrow()  # at most COMMON rows
+    shared = df.sparkSession.sparkContext.broadcast(common.column("gram").to_numpy())
+    found = materialise(texts.mapInArrow(prefixes, "gram long, id long, size int"), "shingle-prefixes")
+    left, right = found.toDF("gram", "a", "na"), found.toDF("gram", "b", "nb")
+    alike = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least) - 1e-6)
+    return left.join(right, "gram").where(alike).select("a", "b").distinct()
 
 
 def similar_pairs(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
@@ -167,19 +222,23 @@ def similar_pairs(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, w
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one document, that of the smallest id, of each near-duplicate group.
 
-    First the operator's own components go down to one document.  Of these, pairs
-    up to SEARCHED bits apart whose shingle sets are SIMILAR are near copies as
-    well; that wider search looks one bit around segments in two segmentations, so
-    it finds most pairs of such a distance, not surely all.  Rows that share an id
-    are one document.  A null id stays only where its group has no id.
+    First the operator's own components go down to one document.  Of these, all
+    whose shingle sets are SIMILAR are near copies as well, whatever the size of the
+    input.  Rows that share an id and stay in one group are one document; rows are
+    judged by their own text.  A null id stays only where its group has no id.
     """
     found = materialise(near_duplicates(df, id_col, text_col), "near-duplicates")
-    gone = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select("id")
-    stay = materialise(found.where("id = component_id").select("id", "fp").distinct(), "representatives")
-    wide = stay.count() < 1 << 24
-    pairs = near_pairs(stay.select("fp"), SEARCHED, 4 if wide else 3, 1 if wide else 2, (0, 8)).where("a < b").distinct()
-    named = pairs.join(stay.select(F.col("fp").alias("a"), F.col("id").alias("ia")), "a").join(stay.select(F.col("fp").alias("b"), F.col("id").alias("ib")), "b")
-    named = materialise(named.select(F.col("ia").alias("a"), F.col("ib").alias("b")), "candidate-pairs")
-    groups = connected_components(similar_pairs(named, df, id_col, text_col))
-    gone = gone.unionByName(groups.where("node <> component").select(F.col("node").alias("id"))).select(F.col("id").alias("__k_id")).distinct()
-    return df.join(gone.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__k_id")), "left_anti")
+    first = F.col("id").eqNullSafe(F.col("component_id"))
+    stay = found.where(first).groupBy("component").agg(F.min("component_id").alias("id"), F.min("version").alias("version"))
+    stay = materialise(stay.select(F.col("component").alias("__k_node"), F.col("id").alias("__k_id"), F.col("version").alias("__k_version")), "representatives")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__k_id")) & (_version(F.col(text_col).cast("string")) == F.col("__k_version"))
+    texts = df.join(stay.hint("shuffle_hash"), same).select("__k_node", F.col(text_col).alias("__k_text")).dropDuplicates(["__k_node"])
+    texts = materialise(texts, "representative-texts", "zstd")
+    pairs = materialise(shared_prefixes(texts, "__k_node", "__k_text"), "candidate-pairs")
+    groups = connected_components(similar_pairs(pairs, texts, "__k_node", "__k_text"))
+    groups = groups.join(stay.select(F.col("__k_node").alias("node"), F.col("__k_id").alias("id")), "node")
+    roots = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("root"))
+    lost = groups.join(roots, "component").where(F.col("node") != F.col("root.node")).select(F.col("node").alias("component"), F.lit(True).alias("lost"))
+    gone = found.join(lost, "component", "left").where(~first | F.col("lost"))
+    gone = gone.select(F.col("id").alias("__k_id"), F.col("version").alias("__k_version")).distinct()
+    return df.join(gone.hint("shuffle_hash"), same, "left_anti")

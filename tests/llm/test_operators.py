@@ -242,6 +242,21 @@ def test_keep_one(spark, docs, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_similar_texts_are_all_found(spark):
+    rng = np.random.default_rng(15)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    rows = []
+    for k in range(60):
+        words = [word() for _ in range(60)]
+        near = [*words]
+        for at in (14, 44)[: 1 + k % 2]:  # similarities of 0.84 and 0.70
+            near[at] = word()
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(near))]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    prints = {i: brute_print(t) for i, t in rows}
+    assert kept == {i for i, _ in rows if i % 2 == 0 or (i // 2 % 2 == 1 and (prints[i] ^ prints[i - 1]).bit_count() > 4)}
+
+
 # -- 4 sharding ---------------------------------------------------------------
 
 
