@@ -242,6 +242,15 @@ def test_keep_one(spark, docs, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_keep_one_judges_rows(spark):
+    rng = np.random.default_rng(14)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(5, a), (None, a), (None, b), (7, a), (7, c), (8, c), (9, d)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(5, a), (0, b), (7, c), (9, d)])
+
+
 def test_similar_texts_are_all_found(spark):
     rng = np.random.default_rng(15)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
