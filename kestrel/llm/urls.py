@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from kestrel.llm.common import table
 
-#: Path folders that a rule key can have.
-MAX_FOLDERS = 4
-
 
 def validity(entries: DataFrame) -> DataFrame:
     """(rule_key, action, valid_from, valid_to): half-open intervals; the last of a key is open (null).
@@ -46,7 +43,7 @@ def rule_keys(url):
     domains = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)", 1)
     folders = F.filter(F.split(F.lower(path), "/"), lambda x: x != "")
-    upto = F.least(F.size(folders), F.lit(MAX_FOLDERS))
+    upto = F.size(folders)
     nested = F.when(upto > 0, F.transform(F.sequence(F.lit(1), upto), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(folders, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
     return F.when(host.isNotNull(), F.array_distinct(F.concat(domains, nested))).otherwise(F.array().cast("array<string>"))
 

@@ -342,6 +342,12 @@ def test_as_of_rules(spark):
     assert sorted((str(r.page_id), r.kept) for r in got) == sorted((str(x[0]), x[3]) for x in captures)
 
 
+def test_deep_rules(spark):
+    e = spark.createDataFrame([("bad.com/a/b/c/d/e", "block")], "rule_key string, action string").withColumn("listed_at", F.to_timestamp(F.lit("2024-01-01")))
+    c = spark.createDataFrame([(1, "http://bad.com/a/b/c/d/e/f/g"), (2, "http://bad.com/a/b/c/d/x")], "page_id long, url string").withColumn("t", F.to_timestamp(F.lit("2024-02-01")))
+    assert {r.page_id: r.kept for r in urls.judge(c, e, "page_id", "url", "t").collect()} == {1: False, 2: True}
+
+
 # -- 7 embeddings -------------------------------------------------------------
 
 
