@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Arrow batches of few rows keep very long texts from meeting in one batch.
 BATCH_ROWS = 500
+#: Rows up to which a table of one number a row is broadcast, about 16 MB.
+SMALL = 1 << 18
 
 
 def tune(spark: SparkSession) -> None:
@@ -19,9 +21,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder named in spark.checkpoint.dir; where it is unset one of our own, on a single machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="kestrel-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -39,6 +43,11 @@ def materialise(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A written table of one number a row: to be broadcast if its counted rows are at most SMALL, else dealt by key."""
+    return F.broadcast(df) if df.count() <= SMALL else df.hint("shuffle_hash")
+
+
 def worker_cache(key, make):
     """A value made once for each Python worker process, whatever task asks for it."""
     module = sys.modules.setdefault("_kestrel_worker_cache", types.ModuleType("_kestrel_worker_cache"))

@@ -14,10 +14,10 @@ from __future__ import annotations
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import materialise, table, tune
+from kestrel.llm.common import materialise, small, table, tune
 from kestrel.llm.graph import connected_components
 
 #: From this many distinct fingerprints on, two segments of 32 bits select better than three of 21.
@@ -131,74 +131,128 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Near copies of the stage: words of a shingle and least Jaccard similarity.
 SHINGLE, SIMILAR = 5, 0.8
 #: Documents (about) in which common shingles are looked for, and how many of these are put last at most.
-SAMPLE, COMMON = 5_000, 100_000
+SAMPLE, COMMON = 50_000, 500_000
+#: Nodes that a task remembers so that repeated rows are cut once.
+REMEMBERED = 1 << 20
+
+
+def _shingles(text: str | None, width: int):
+    """Sorted distinct 64-bit hashes of a text's word shingles; a text of fewer words has one, of its whole sequence."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    w = np.array([xxh64_intdigest(x) for x in words], "<u8")
+    n = max(1, len(w) - width + 1)
+    h = np.full(n, len(w) if len(w) < width else width, "<u8")
+    factor = 1
+    for k in range(min(width, len(w))):  # a sum of word hashes times odd factors by place
+        factor = factor * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+        h += w[k : k + n] * np.uint64(factor)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.unique((h ^ (h >> np.uint64(31))).view("<i8"))
 
 
 def shared_prefixes(df: DataFrame, id_col: str, text_col: str, width: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
     """Pairs (a, b), a < b, of ids whose texts can have the Jaccard similarity of shingle sets; none that has it is missed.
 
     Shingles have one order for all texts, common ones last.  Two sets so similar
-    share a shingle among the first (1 - least) of each.  Which are common comes
-    from a sample; it decides the work, not the result.  Ids must be unique.
+    share a shingle among the first (1 - least) of each, and their first common one
+    stands so early in both that what follows can hold enough of them.  Which are
+    common comes from a sample; it decides the work, not the result.  Shingles of
+    one text alone go after one shuffle, before the join.  Rows of one id have one text.
     """
 
-    def hashes(text):
-        import numpy as np
-        from xxhash import xxh64_intdigest
-
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        grams = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
-        return np.unique(np.array([xxh64_intdigest(g, 42) for g in grams], "<u8").view("<i8"))
-
     def every(batches):
         for batch in batches:
             for text in batch.column(1).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(hashes(text))], ["gram"])
+                yield pa.RecordBatch.from_arrays([pa.array(_shingles(text, width))], ["gram"])
 
     def prefixes(batches):
         import numpy as np
 
-        last = shared.value
+        last, seen = shared.value, set()
         for batch in batches:
-            grams, ids, sizes = [np.zeros(0, np.int64)], [], []
-            for text in batch.column(1).to_pylist():
-                h = hashes(text)
-                late = np.isin(h, last)
-                first = np.concatenate([h[~late], h[late]])[: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1]
+            grams, ids, sizes, places = [np.zeros(0, np.int64)], [], [], [np.zeros(0, np.int32)]
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                first = np.zeros(0, np.int64)
+                h = first
+                if node not in seen:
+                    seen = seen if len(seen) < REMEMBERED else set()
+                    seen.add(node)
+                    h = _shingles(text, width)
+                    late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h if len(last) else np.zeros(len(h), bool)
+                    first = np.concatenate([h[~late], h[late]])[: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1]
                 grams.append(first)
+                places.append(np.arange(len(first), dtype=np.int32))
                 ids.append(len(first))
                 sizes.append(len(h))
             ids = np.array(ids, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.repeat(batch.column(0).to_numpy(), ids)), pa.array(np.repeat(np.array(sizes, np.int32), ids))], ["gram", "id", "size"])
+            columns = (np.concatenate(grams), np.repeat(batch.column(0).to_numpy(), ids), np.repeat(np.array(sizes, np.int32), ids), np.concatenate(places))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "id", "size", "place"])
 
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     share = max(1, texts.count() // SAMPLE)
     sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).mapInArrow(every, "gram long").groupBy("gram").count().where("count > 2")
     common = sample.orderBy(F.desc("count"), "gram").limit(COMMON).select("gram").toArrow()  # at most COMMON rows
-    shared = df.sparkSession.sparkContext.broadcast(common.column("gram").to_numpy())
-    found = materialise(texts.mapInArrow(prefixes, "gram long, id long, size int"), "shingle-prefixes")
-    left, right = found.toDF("gram", "a", "na"), found.toDF("gram", "b", "nb")
-    alike = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least) - 1e-6)
+    shared = df.sparkSession.sparkContext.broadcast(sorted_array(common.column("gram")))
+    rows = texts.mapInArrow(prefixes, "gram long, id long, size int, place int")
+    found = rows.withColumn("others", F.count("*").over(Window.partitionBy("gram"))).where("others > 1").drop("others")
+    found = materialise(found, "shared-prefixes")
+    shared.unpersist()
+    left, right = found.toDF("gram", "a", "na", "pa"), found.toDF("gram", "b", "nb", "pb")
+    overlap = F.ceil((F.col("na") + F.col("nb")) * F.lit(least / (1 + least)) - 1e-6)
+    alike = (F.col("a") < F.col("b")) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= overlap)
     return left.join(right, "gram").where(alike).select("a", "b").distinct()
 
 
-def similar_pairs(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
+def sorted_array(column):
+    import numpy as np
+
+    return np.sort(column.to_numpy())
+
+
+def _parities(grams) -> bytes:
+    """Of every bin of a power of two of bins, at least four a member, whether a set has an odd number of members there."""
+    import numpy as np
+
+    bins = max(8, 1 << (4 * len(grams) - 1).bit_length())
+    return np.packbits(np.bincount(grams & (bins - 1), minlength=bins).astype(np.uint8) & 1).tobytes()
+
+
+def most_common(x: bytes, nx: int, y: bytes, ny: int) -> int:
+    """An upper bound of the members that two sets share, from their parities: a bin that differs holds one that is not shared."""
+    import numpy as np
+
+    a, b = (np.frombuffer(v, np.uint8) for v in (x, y))
+    while len(a) != len(b):  # the parities of half the bins are those of both halves added up
+        a, b = (v if len(v) == min(len(a), len(b)) else v[: len(v) // 2] ^ v[len(v) // 2 :] for v in (a, b))
+    return (nx + ny - int(np.bitwise_count(a ^ b).sum())) // 2
+
+
+def similar_pairs(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, row_col: str, width: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
     """Those of the pairs (a, b) of ids whose texts' sets of word shingles have the Jaccard similarity.
 
-    Only texts that are in a pair are turned into sets.  Ids must be unique.
+    Only texts that are in a pair are turned into sets, and sets meet only where the
+    parities of their bins leave the similarity possible.  Rows of one id have one
+    text, and ``row_col`` numbers the rows of df.
     """
 
     def shingles(batches):
-        import numpy as np
-        from xxhash import xxh64_intdigest
+        for batch in batches:
+            sets = [_shingles(text, width) for text in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array([_parities(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "size", "odd", "grams"])
 
+    def enough(common, nx, ny):
+        return common >= least * (nx + ny - common)
+
+    def bound(batches):
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                grams = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
-                out.append(np.unique(np.array([xxh64_intdigest(g, 42) & 0xFFFFFFFF for g in grams], "<u4")).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "grams"])
+            rows = zip(*(c.to_pylist() for c in batch.columns[2:]))
+            keep = pa.array([i for i, (nx, x, ny, y) in enumerate(rows) if enough(most_common(x, nx, y, ny), nx, ny)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
     def compare(batches):
         import numpy as np
@@ -206,17 +260,23 @@ def similar_pairs(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, w
         for batch in batches:
             keep = []
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                common = len(np.intersect1d(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), assume_unique=True))
-                if common >= least * ((len(x) + len(y)) // 4 - common):
+                common = len(np.intersect1d(np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8"), assume_unique=True))
+                if enough(common, len(x) // 8, len(y) // 8):
                     keep.append(i)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
-    ids = pairs.select(F.col("a").alias("__k_id")).unionByName(pairs.select(F.col("b").alias("__k_id"))).distinct()
-    texts = df.select(F.col(id_col).cast("long").alias("__k_id"), F.col(text_col).cast("string").alias("text")).join(ids.hint("shuffle_hash"), "__k_id", "left_semi")
-    sets = materialise(texts.mapInArrow(shingles, "id long, grams binary").dropDuplicates(["id"]), "shingle-sets")
-    joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(compare, "a long, b long")
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    firsts = df.groupBy(F.col(id_col).alias("id")).agg(F.min(row_col).alias("__k_row")).join(ends, "id", "left_semi").select("__k_row")
+    firsts = materialise(firsts, "pair-ends")
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(row_col).alias("__k_row")).join(small(firsts), "__k_row", "left_semi")
+    sets = materialise(texts.select("id", "text").mapInArrow(shingles, "id long, size int, odd binary, grams binary"), "shingle-sets")
+    left, right = sets.select("id", "size", "odd").toDF("a", "na", "x"), sets.select("id", "size", "odd").toDF("b", "nb", "y")
+    likely = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "x", "nb", "y").mapInArrow(bound, "a long, b long")
+    likely = materialise(likely, "likely-pairs")
+    left, right = sets.select("id", "grams").toDF("a", "x"), sets.select("id", "grams").toDF("b", "y")
+    left, right = left.join(likely.select("a"), "a", "left_semi"), right.join(likely.select("b"), "b", "left_semi")
+    return likely.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,18 +287,16 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     input.  Rows that share an id and stay in one group are one document; rows are
     judged by their own text.  A null id stays only where its group has no id.
     """
-    found = materialise(near_duplicates(df, id_col, text_col), "near-duplicates")
-    first = F.col("id").eqNullSafe(F.col("component_id"))
-    stay = found.where(first).groupBy("component").agg(F.min("component_id").alias("id"), F.min("version").alias("version"))
+    found = near_duplicates(df, id_col, text_col)
+    stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("component_id").alias("id"), F.min("version").alias("version"))
     stay = materialise(stay.select(F.col("component").alias("__k_node"), F.col("id").alias("__k_id"), F.col("version").alias("__k_version")), "representatives")
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__k_id")) & (_version(F.col(text_col).cast("string")) == F.col("__k_version"))
-    texts = df.join(stay.hint("shuffle_hash"), same).select("__k_node", F.col(text_col).alias("__k_text")).dropDuplicates(["__k_node"])
-    texts = materialise(texts, "representative-texts", "zstd")
-    pairs = materialise(shared_prefixes(texts, "__k_node", "__k_text"), "candidate-pairs")
-    groups = connected_components(similar_pairs(pairs, texts, "__k_node", "__k_text"))
+    kept = df.join(stay.hint("shuffle_hash"), same).select(*(F.col(f"`{c}`") for c in df.columns), "__k_node").withColumn("__k_row", F.monotonically_increasing_id())
+    kept = materialise(kept, "representative-rows", "zstd")
+    pairs = materialise(shared_prefixes(kept, "__k_node", text_col), "candidate-pairs")
+    groups = connected_components(similar_pairs(pairs, kept, "__k_node", text_col, "__k_row"))
     groups = groups.join(stay.select(F.col("__k_node").alias("node"), F.col("__k_id").alias("id")), "node")
     roots = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("root"))
-    lost = groups.join(roots, "component").where(F.col("node") != F.col("root.node")).select(F.col("node").alias("component"), F.lit(True).alias("lost"))
-    gone = found.join(lost, "component", "left").where(~first | F.col("lost"))
-    gone = gone.select(F.col("id").alias("__k_id"), F.col("version").alias("__k_version")).distinct()
-    return df.join(gone.hint("shuffle_hash"), same, "left_anti")
+    lost = groups.join(roots, "component").where(F.col("node") != F.col("root.node")).select(F.col("node").alias("__k_node"))
+    lost = materialise(lost, "near-copies")
+    return kept.join(small(lost), "__k_node", "left_anti").select(*(f"`{c}`" for c in df.columns))
