@@ -520,7 +520,7 @@ def test_contamination(spark, empty, monkeypatch):
     benchmark = spark.createDataFrame([*enumerate(items), (77, None), (78, "")], "item_id long, text string")
     got = {r.doc_id: r.item_id for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
     assert got == want | {None: 2}
-    monkeypatch.setattr(decontaminate, "ITEMS", 10)  # a benchmark larger than one slice gives the same
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 2000)  # a benchmark larger than one slice gives the same
     sliced = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark)
     assert {r.doc_id: r.item_id for r in sliced.collect()} == got
     kept = decontaminate.remove_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark)
