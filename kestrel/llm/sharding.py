@@ -46,7 +46,7 @@ def fill_table(shards: tuple[str, ...], slots: int = SLOTS) -> list[int]:
 
 
 def place(df: DataFrame, key_cols: list[str], shards: tuple[str, ...] = SHARDS, slots: int = SLOTS, out: tuple[str, str] = ("slot", "shard")) -> DataFrame:
-    """df with the slot and the shard of each row at its end.
+    """df with the slot and the shard of each row at its end; columns of df that have their names give way.
 
     Nulls in keys are a value of their own.  The table travels as a literal of one
     broadcast relation; there is no shuffle.
@@ -59,7 +59,7 @@ def place(df: DataFrame, key_cols: list[str], shards: tuple[str, ...] = SHARDS,
     key = F.concat_ws("|", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in key_cols))
     slot = F.pmod(F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(slots).cast("long"))
     placed = df.withColumn("__k_at", slot).join(F.broadcast(filled), F.col("__k_at") == F.col("__k_slot"))
-    return placed.select(*(f"`{c}`" for c in df.columns), F.col("__k_slot").alias(out[0]), F.col("__k_shard").alias(out[1]))
+    return placed.select(*(F.col(f"`{c}`") for c in df.columns if c not in out), F.col("__k_slot").alias(out[0]), F.col("__k_shard").alias(out[1]))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
