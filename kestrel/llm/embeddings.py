@@ -14,6 +14,8 @@ counts leave, so a group of any size is counted whole.
 
 from __future__ import annotations
 
+import logging
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from kestrel.llm.common import materialise, table, tune
 from kestrel.llm.graph import connected_components
 
+LOG = logging.getLogger(__name__)
+
 #: Length of neighbour lists, reverse neighbours a pivot looks at, rows of a block, code tables a round.
 NEIGHBOURS, REVERSE, BLOCK, TABLES = 8, 8, 256, 10
 CODE_BITS = 24
@@ -29,7 +33,8 @@ ITERATIONS = 3
 AUDIT = 400
 #: What two vectors in half precision can change a cosine by.
 HALF = 0.001
-CHUNK = 512
+#: Rows of a chunk of a component, in between 4 times the root of its size; parts in which a large component is dealt.
+LEAST_CHUNK, MOST_CHUNK, SALTS = 128, 2048, 64
 
 
 def unit_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -225,11 +230,15 @@ def _class_counts(members: DataFrame, threshold: float) -> DataFrame:
     """(node, links): links of each class to rows of other classes of its component, all pairs in blocks.
 
     ``members`` has component, node, unit, copies.  Chunks of a component meet
-    pairwise; a task holds two chunks and emits one count a member.
+    pairwise; a task holds two chunks, dealt by a hash, and emits one count a member.  Members learn the size of a large component by one of SALTS
+    copies of it, so no component is one key.
     """
-    chunked = members.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy("component", F.pmod(F.xxhash64("node"), F.lit(64))).orderBy("node")) - 1) / (CHUNK // 64)).cast("int"))
-    sizes = chunked.groupBy("component").agg((F.max("chunk") + 1).alias("n"))
-    many = chunked.join(sizes, "component").withColumn("other", F.explode(F.expr("sequence(0, n - 1)")))
+    sizes = members.groupBy("component").agg(F.count("*").alias("rows")).where(F.col("rows") > LEAST_CHUNK)
+    size = F.greatest(F.lit(LEAST_CHUNK), F.least(F.lit(MOST_CHUNK), 4 * F.sqrt("rows")))
+    large = sizes.select("component", F.ceil(F.col("rows") / size).cast("int").alias("chunks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int"))
+    known = salted.join(large, ["component", "salt"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    many = known.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
     dealt = many.select("component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "unit", "copies")
     lists = dealt.groupBy("component", "i", "j").agg(F.collect_list(F.struct("chunk", "node", "copies", "unit")).alias("m"))
 
@@ -294,7 +303,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             known = part.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
             near = code_blocks(known, dim, round_no, _tables(total), threshold).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
             new = materialise(_verified(near, part, threshold).unionByName(_missed(known, threshold, round_no)), "links")
-            if new.isEmpty():
+            n_new = new.count()
+            LOG.info("round %d over %d vectors of %d dimensions: %d links that no search before knew", round_no, total, dim, n_new)
+            if not n_new:
                 break
             links = links.unionByName(new)
             found = materialise(connected_components(links, "u", "v"), "components")
