@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions import kernels
-from kestrel.sources.features import batch_matrix
+from kestrel.functions.sparse import Csr, Postings
+from kestrel.sources.features import batch_matrix, batch_rows, from_coo
+from kestrel.sources.tables import materialise
 
 BLOCK = 512
 #: A query set of at most this many bytes is broadcast; a larger one meets the rows block by block.
@@ -36,11 +38,38 @@ def blocks(df: DataFrame, id_col: str, features: str = "features", size: int = B
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(features).alias("x")).mapInArrow(pack, "ids array<long>, d int, cells binary")
 
 
+def _met(rows: DataFrame, queries: DataFrame, on=None) -> DataFrame:
+    """Every block of rows with every block of queries (that ``on`` lets through); queries are broadcast if they are small."""
+    q = materialise(queries, "query-blocks")
+    size = q.agg(F.coalesce(F.sum(F.octet_length("q_cells")), F.lit(0))).first()[0]
+    q = F.broadcast(q) if size <= BROADCAST_BYTES else q
+    return rows.crossJoin(q) if on is None else rows.join(q, on)
+
+
 def block_pairs(rows: DataFrame, queries: DataFrame, id_col: str, features: str = "features") -> DataFrame:
     """Every block of rows with every block of queries; few, large rows."""
-    q = blocks(queries, id_col, features).select(F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells")).cache()
-    size = q.agg(F.coalesce(F.sum(F.octet_length("q_cells")), F.lit(0))).first()[0]
-    return blocks(rows, id_col, features).crossJoin(F.broadcast(q) if size <= BROADCAST_BYTES else q)
+    q = blocks(queries, id_col, features).select(F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"))
+    return _met(blocks(rows, id_col, features), q)
+
+
+def sparse_blocks(df: DataFrame, id_col: str, features: str = "features", size: int = BLOCK) -> DataFrame:
+    """(ids, d, cells): up to ``size`` sparse rows in one binary; counts, then indices, then values."""
+
+    def pack(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, size):
+                batch = whole.slice(lo, size)
+                x = batch_rows(batch.column(1))
+                cells = np.concatenate([np.diff(x.indptr).astype("<i8"), x.indices.astype("<i8"), x.data.astype("<f8").view("<i8")]).tobytes()
+                yield pa.RecordBatch.from_pydict({"ids": pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), "d": pa.array([x.d], pa.int32()), "cells": pa.array([cells], pa.binary())})
+
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(features).alias("x")).mapInArrow(pack, "ids array<long>, d int, cells binary")
+
+
+def _unpack(cells: bytes, n: int, d: int) -> Csr:
+    flat = np.frombuffer(cells, "<i8")
+    k = (len(flat) - n) // 2
+    return Csr(np.concatenate([[0], np.cumsum(flat[:n])]), flat[n : n + k], flat[n + k :].view("<f8"), d)
 
 
 def gram(rows: DataFrame, queries: DataFrame, id_col: str, kernel, features: str = "features", **params) -> DataFrame:
@@ -57,19 +86,33 @@ def gram(rows: DataFrame, queries: DataFrame, id_col: str, kernel, features: str
     return block_pairs(rows, queries, id_col, features).mapInArrow(compute, "i long, j long, k double")
 
 
+def sparse_anova_gram(rows: DataFrame, queries: DataFrame, id_col: str, degree: int, features: str = "features") -> DataFrame:
+    """(i, j, k): the non-zero ANOVA kernels of sparse query i with sparse row j, at the cost of their shared non-zeros."""
+
+    def compute(batches):
+        for batch in batches:
+            for ids, d, cells, q_ids, q_cells in zip(*(c.to_pylist() for c in batch.columns)):
+                x, q = _unpack(cells, len(ids), d), _unpack(q_cells, len(q_ids), d)
+                j, i, k = Postings(q.rows(), q.indices, q.data, len(q)).anova(x, degree)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(q_ids)[i], pa.int64()), pa.array(np.array(ids)[j], pa.int64()), pa.array(k)], ["i", "j", "k"])
+
+    q = sparse_blocks(queries, id_col, features).select(F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"))
+    return _met(sparse_blocks(rows, id_col, features), q).mapInArrow(compute, "i long, j long, k double")
+
+
 def sparse_gram(rows_coo: DataFrame, queries_coo: DataFrame, id_col: str) -> DataFrame:
-    """Linear Gram of coordinate rows by an equi-join on the feature; zero results have no row."""
-    q = queries_coo.select(F.col(id_col).alias("i"), "j", F.col("v").alias("qv"))
-    p = rows_coo.select(F.col(id_col).alias("p"), "j", "v")
-    return q.join(p, "j").groupBy("i", "p").agg(F.sum(F.col("qv") * F.col("v")).alias("k")).where("k <> 0").select("i", F.col("p").alias("j"), "k")
+    """(i, j, k): linear Gram of coordinate rows, packed first, so that a frequent feature is no join key; zero results have no row."""
+    width = 1 + max(c.agg(F.max("j")).first()[0] or 0 for c in (rows_coo, queries_coo))
+    return sparse_anova_gram(from_coo(rows_coo, id_col, width), from_coo(queries_coo, id_col, width), id_col, 1)
 
 
 def _pair_sums(df: DataFrame, id_col: str, columns: list[str], function, names: list[str]) -> DataFrame:
     """Sums over all pairs of rows with i <= j of function(rows of both blocks, mask); one partial row a pair of blocks."""
     packed = df.select(F.col(id_col).cast("long").alias("id"), F.concat(*columns).alias("x"))
     width = len(df.select(columns[0]).first()[0])
-    q = blocks(packed, "id", "x").select(F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"))
-    pairs = blocks(packed, "id", "x").crossJoin(q)
+    packed = materialise(blocks(packed.repartitionByRange("id").sortWithinPartitions("id"), "id", "x"), "row-blocks")
+    q = packed.select(F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"))
+    pairs = _met(packed, q, F.array_min("q_ids") <= F.array_max("ids"))  # blocks of which all pairs are in the other order do not meet
 
     def compute(batches):
         for batch in batches:

@@ -15,20 +15,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from kestrel.functions import kernels, rng
 from kestrel.functions.linalg import circulant, fwht, next_power_of_two, pad
-from kestrel.sources.features import batch_matrix, list_column, width_of
+from kestrel.functions.sparse import Postings, is_sparse
+from kestrel.sources.features import batch_matrix, batch_rows, list_column, sparse_column, width_of
 
 #: Cells of one block of mapped rows in a task.
 BLOCK_CELLS = 2_000_000
+SPARSE_TYPE = StructType([StructField("size", IntegerType()), StructField("indices", ArrayType(IntegerType())), StructField("values", ArrayType(DoubleType()))])
 
 
 class FeatureMap:
     """Protocol of all maps; user-defined maps implement ``_draw`` and ``apply``."""
 
     width: int
+    #: Whether ``apply`` takes compressed rows as they are; other maps get them as a matrix, in blocks by their width.
+    sparse_input = False
 
     def __init__(self, n_components: int = 100, seed: int = 0):
         if n_components < 1:
@@ -64,9 +68,17 @@ class FeatureMap:
         if getattr(self, "b", None) is not None:
             self.b = self.b[keep]
 
-    def transform(self, df: DataFrame, features: str = "features", out: str = "z") -> DataFrame:
-        """df with z(features) as an array column at its end."""
-        return map_batches(df, features, out, self, lambda m, x: m.apply(_width(m, x)), ArrayType(DoubleType()))
+    def apply_sparse(self, x) -> tuple:
+        """(rows, columns, values) of the non-zero cells of ``apply``, in order."""
+        z = self.apply(x)
+        rows, cols = np.nonzero(z)
+        return rows, cols, z[rows, cols]
+
+    def transform(self, df: DataFrame, features: str = "features", out: str = "z", dense_output: bool = True) -> DataFrame:
+        """df with z(features) at its end, an array column or, without dense_output, a sparse struct of the non-zeros."""
+        if dense_output:
+            return map_batches(df, features, out, self, lambda m, x: m.apply(_width(m, x)), ArrayType(DoubleType()))
+        return map_batches(df, features, out, self, lambda m, x: (len(x), m.width, *m.apply_sparse(_width(m, x))), SPARSE_TYPE)
 
     def fit_transform(self, df: DataFrame, features: str = "features", out: str = "z") -> DataFrame:
         return self.fit(width_of(df, features)).transform(df, features, out)
@@ -78,11 +90,16 @@ def _width(m: FeatureMap, x: np.ndarray) -> np.ndarray:
     return x
 
 
+def batch_for(m, column):
+    """A features column as the map takes it: compressed rows, or a matrix."""
+    return (batch_rows if getattr(m, "sparse_input", False) else batch_matrix)(column)
+
+
 def map_batches(df: DataFrame, features: str, out: str, model, function, out_type) -> DataFrame:
     """df with function(model, matrix of features) as a column at its end.
 
-    Wide outputs are cut into blocks of BLOCK_CELLS so that a task's memory is
-    bounded whatever the Arrow batch holds.
+    Wide inputs and outputs are cut into blocks of BLOCK_CELLS so that a task's memory
+    is bounded whatever the Arrow batch holds.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*df.schema.fields, StructField(out, out_type)])
@@ -90,12 +107,16 @@ def map_batches(df: DataFrame, features: str, out: str, model, function, out_typ
 
     def run(batches):
         m = shared.value
-        step = max(1, BLOCK_CELLS // max(1, getattr(m, "width", 1)))
+        sparse = getattr(m, "sparse_input", False)
         for whole in batches:
+            wide = 1
+            if pa.types.is_struct(whole.column(at).type) and whole.num_rows and not sparse:
+                wide = max(1, whole.column(at).field("size")[0].as_py() or 1)
+            step = max(1, BLOCK_CELLS // max(wide, getattr(m, "width", 1)))
             for lo in range(0, whole.num_rows, step):
                 batch = whole.slice(lo, step)
-                z = function(m, batch_matrix(batch.column(at)))
-                column = list_column(z) if z.ndim == 2 else pa.array(z)
+                z = function(m, batch_for(m, batch.column(at)))
+                column = sparse_column(*z) if isinstance(z, tuple) else list_column(z) if z.ndim == 2 else pa.array(z)
                 yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, out])
 
     return df.mapInArrow(run, schema)
@@ -141,6 +162,8 @@ class RandomFourier(_Fourier):
     Without offset the width is even, rounded down, cosines first.
     """
 
+    sparse_input = True
+
     def __init__(self, n_components=100, gamma="auto", use_offset=False, seed=0, kernel="rbf"):
         if kernel != "rbf":
             raise ValueError("the kernel must be 'rbf'")
@@ -267,18 +290,34 @@ class RandomKernel(FeatureMap):
         if isinstance(self.kernel, str) and self.kernel not in ("anova", "anova_cython", "all_subsets", "dot", "pairwise", "pairwise_symmetric"):
             raise ValueError(f"unknown kernel {kernel!r}")
         self.degree, self.distribution, self.p_sparse = degree, distribution, p_sparse
+        self.sparse_input = self.kernel in ("anova", "anova_cython", "dot")
 
     def _draw(self):
         self.W = rng.matrix(self.seed, "w", self.width, self.d, self.distribution, self.p_sparse).T
         self.scale = math.sqrt(self.width)
 
+    def apply_sparse(self, x):
+        """Compressed rows meet the non-zero weights alone."""
+        if not is_sparse(x) or self.kernel == "dot":
+            return super().apply_sparse(x)
+        features, bases = np.nonzero(self.W)
+        rows, cols, values = Postings(bases, features, self.W[features, bases], self.width).anova(x, self.degree)
+        return rows, cols, values / self.scale
+
     def apply(self, x):
+        if is_sparse(x) and self.kernel == "anova_cython":
+            x = x.toarray()
         k = self.kernel(x, self.W.T) if callable(self.kernel) else kernels.matrix(self.kernel, x, self.W.T, degree=self.degree)
         return k / self.scale
 
 
 class SubfeatureRandomKernel(RandomKernel):
-    """RandomKernel whose weights have n_sub_features non-zeros each, scaled to stay unbiased."""
+    """RandomKernel whose weights have n_sub_features non-zeros each, scaled to stay unbiased.
+
+    Only the non-zero weights are held, and only pairs of non-zeros are multiplied.
+    """
+
+    sparse_input = True
 
     def __init__(self, n_components=100, n_sub_features=5, kernel="anova", degree=2, distribution="rademacher", seed=0):
         super().__init__(n_components, kernel, degree, distribution, 0.0, seed)
@@ -289,11 +328,32 @@ class SubfeatureRandomKernel(RandomKernel):
         self.n_sub_features = n_sub_features
 
     def _draw(self):
-        super()._draw()
-        keep = np.zeros((self.width, self.d), bool)
-        np.put_along_axis(keep, rng.subsets(self.seed, "sub", self.width, self.d, self.n_sub_features), True, axis=1)
-        self.W = self.W * keep.T
-        self.scale /= math.sqrt(math.comb(self.d, self.degree) / math.comb(self.n_sub_features, self.degree))
+        self.weights = _sub_weights(self.seed, "sub", "w", range(self.width), self.d, self.n_sub_features, self.distribution)
+        self.scale = math.sqrt(self.width) / math.sqrt(math.comb(self.d, self.degree) / math.comb(self.n_sub_features, self.degree))
+
+    def apply(self, x):
+        z = np.zeros((len(x), self.width))
+        rows, cols, values = self.apply_sparse(x)
+        z[rows, cols] = values
+        return z
+
+    def apply_sparse(self, x):
+        rows, cols, values = self.weights.anova(x, self.degree)
+        return rows, cols, values / self.scale
+
+    def remove_bases(self, indices) -> bool:
+        keep = np.setdiff1d(np.arange(self.width), np.asarray(indices))
+        self.weights, self.width = self.weights.keep(keep), len(keep)
+        return True
+
+
+def _sub_weights(seed: int, sub: str, stream: str, rows, d: int, k: int, distribution, p_sparse: float = 0.0, factor: float = 1.0) -> Postings:
+    """Weights of bases that look at k features each; a base's draws over all features are all that is ever held."""
+    subsets, values = np.zeros((len(rows), k), np.int64), np.zeros((len(rows), k))
+    for n, i in enumerate(rows):
+        subsets[n] = rng.subsets(seed, sub, [i], d, k)[0]
+        values[n] = rng.matrix(seed, stream, [i], subsets[n], distribution, p_sparse)[0] * factor
+    return Postings.of(subsets, values)
 
 
 class RandomMaclaurin(FeatureMap):
@@ -304,6 +364,7 @@ class RandomMaclaurin(FeatureMap):
     """
 
     sub = None
+    sparse_input = True
 
     def __init__(self, n_components=100, p=10, kernel="poly", degree=2, distribution="rademacher", gamma="auto", bias=0.0, coefs=None, max_expansion=50, h01=False, p_sparse=0.0, seed=0):
         super().__init__(n_components, seed)
@@ -328,21 +389,18 @@ class RandomMaclaurin(FeatureMap):
 
     def _factor(self, k: int, rows: np.ndarray):
         """Bases with a k-th factor and its weights."""
-        w = rng.matrix(self.seed, f"w{k}", rows.tolist(), self.d, self.distribution, self.p_sparse)
         if self.sub is not None:
-            keep = np.zeros(w.shape, bool)
-            np.put_along_axis(keep, rng.subsets(self.seed, f"sub{k}", rows.tolist(), self.d, self.sub), True, axis=1)
-            w = w * keep * math.sqrt(self.d / self.sub)
-        return rows, w.T
+            return rows, _sub_weights(self.seed, f"sub{k}", f"w{k}", rows.tolist(), self.d, self.sub, self.distribution, self.p_sparse, math.sqrt(self.d / self.sub))
+        return rows, rng.matrix(self.seed, f"w{k}", rows.tolist(), self.d, self.distribution, self.p_sparse).T
 
     def apply(self, x):
         z = np.repeat(self.scales[None], len(x), axis=0)
         for rows, w in self.factors:
-            z[:, rows] *= x @ w
+            z[:, rows] *= w.dot(x) if hasattr(w, "bases") else x @ w
         z /= math.sqrt(max(1, len(self.orders)))
         if self.h01:
             a0, a1 = self.a[0], self.a[1] if len(self.a) > 1 else 0.0
-            z = np.concatenate([np.full((len(x), 1), math.sqrt(a0)), math.sqrt(a1) * x, z], axis=1)
+            z = np.concatenate([np.full((len(x), 1), math.sqrt(a0)), math.sqrt(a1) * (x.toarray() if is_sparse(x) else x), z], axis=1)
         return z
 
     def remove_bases(self, indices) -> bool:
@@ -352,7 +410,11 @@ class RandomMaclaurin(FeatureMap):
         place = {int(old): new for new, old in enumerate(keep)}
         held = math.sqrt(max(1, len(keep)) / max(1, len(self.orders)))  # columns keep their values
         self.orders, self.scales = self.orders[keep], self.scales[keep] * held
-        self.factors = [(np.array([place[int(r)] for r in rows if int(r) in place], np.int64), w[:, [i for i, r in enumerate(rows) if int(r) in place]]) for rows, w in self.factors]
+        factors = []
+        for rows, w in self.factors:
+            stay = [i for i, r in enumerate(rows) if int(r) in place]
+            factors.append((np.array([place[int(rows[i])] for i in stay], np.int64), w.keep(np.array(stay, np.int64)) if hasattr(w, "bases") else w[:, stay]))
+        self.factors = factors
         self.width = len(keep)
         return True
 
@@ -370,9 +432,21 @@ class SubfeatureRandomMaclaurin(RandomMaclaurin):
         super()._draw()
 
 
+def _sketch(x, h, s, width: int):
+    """Cells h(j) += s(j) x_j of every row."""
+    if is_sparse(x):
+        cells = np.bincount(x.rows() * width + h[x.indices], weights=x.data * s[x.indices], minlength=len(x) * width)
+        return cells.reshape(len(x), width)
+    z = np.zeros((width, len(x)))
+    np.add.at(z, h, (x * s).T)
+    return z.T
+
+
 class TensorSketch(FeatureMap):
     """Homogeneous polynomial kernel <x, y>^degree: product of count sketches in the frequency domain."""
 
+    sparse_input = True
+
     def __init__(self, n_components=100, degree=2, seed=0):
         super().__init__(n_components, seed)
         if degree < 1:
@@ -386,23 +460,21 @@ class TensorSketch(FeatureMap):
     def apply(self, x):
         product = 1.0
         for h, s in zip(self.H, self.S):
-            sketch = np.zeros((self.width, len(x)))
-            np.add.at(sketch, h, (x * s).T)
-            product = product * np.fft.rfft(sketch.T, axis=1)
+            product = product * np.fft.rfft(_sketch(x, h, s, self.width), axis=1)
         return np.fft.irfft(product, n=self.width, axis=1)
 
 
 class CountSketch(FeatureMap):
     """Linear kernel: z[h(j)] += s(j) x_j."""
 
+    sparse_input = True
+
     def _draw(self):
         self.H = rng.buckets(self.seed, "hash", 1, self.d, self.n_components)[0]
         self.S = rng.matrix(self.seed, "sign", 1, self.d, "rademacher")[0]
 
     def apply(self, x):
-        z = np.zeros((self.width, len(x)))
-        np.add.at(z, self.H, (x * self.S).T)
-        return z.T
+        return _sketch(x, self.H, self.S, self.width)
 
     def sketch_coo(self, coo: DataFrame, id_col: str) -> DataFrame:
         """(id, i, z) from (id, j, v) rows by a broadcast hash table and one aggregation."""
@@ -414,6 +486,8 @@ class CountSketch(FeatureMap):
 class RandomProjection(FeatureMap):
     """Linear kernel: x W / sqrt(D); p_sparse 'auto' is 1 - 1/sqrt(d) for sparse weights."""
 
+    sparse_input = True
+
     def __init__(self, n_components=100, distribution="rademacher", p_sparse="auto", seed=0):
         super().__init__(n_components, seed)
         if p_sparse != "auto" and not (isinstance(p_sparse, float) and 0.0 <= p_sparse < 1.0):
@@ -501,6 +575,13 @@ class SparseMB(MB):
     """Two cells a feature, equal to MB for linear models with differences of neighbouring weights:
     hat functions on the grid, the cell below and the cell above."""
 
+    def cells(self, x):
+        """(cell, its value, the value of the cell below) of every feature; no cell below the first."""
+        g, x = self.grids, self._checked(x)
+        cell = np.minimum((g * x).astype(np.int64), g - 1)
+        share = g * x - cell
+        return cell + g * np.arange(self.d), share, np.where(cell > 0, 1 - share, 0.0)
+
     def apply(self, x):
         g, z = self.grids, np.zeros((len(x), self.d, self.grids))
         x = self._checked(x)

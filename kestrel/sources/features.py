@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kestrel.functions.sparse import Csr
+
 SPARSE = "struct<size:int,indices:array<int>,values:array<double>>"
 
 
@@ -73,16 +75,39 @@ def to_dense(df: DataFrame, id_col: str, col: str = "features", out: str = "feat
     return df.select(id_col, F.when(s["size"] > 0, cells).otherwise(F.array().cast("array<double>")).alias(out))
 
 
+def from_coo(df: DataFrame, id_col: str, width: int, out: str = "features") -> DataFrame:
+    """Sparse structs from (id, j, v) rows, one an id, features in order."""
+    cells = F.sort_array(F.collect_list(F.struct(F.col("j").cast("int").alias("j"), F.col("v").cast("double").alias("v"))))
+    rows = df.groupBy(id_col).agg(cells.alias("__c"))
+    return rows.select(id_col, F.struct(F.lit(width).alias("size"), F.col("__c.j").alias("indices"), F.col("__c.v").alias("values")).cast(SPARSE).alias(out))
+
+
+def batch_rows(column: pa.Array) -> Csr | np.ndarray:
+    """A sparse struct column as compressed rows, any other as a matrix."""
+    if not pa.types.is_struct(column.type):
+        return batch_matrix(column)
+    size, indices, values = (column.field(k) for k in ("size", "indices", "values"))
+    if column.null_count or size.null_count or indices.null_count or values.null_count:
+        raise ValueError("features must not be null")
+    sizes = size.to_numpy()
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError("features must have one width")
+    many = pa.compute.list_value_length(indices).to_numpy()
+    j, v = indices.flatten(), values.flatten()
+    if j.null_count or v.null_count or (pa.compute.list_value_length(values).to_numpy() != many).any():
+        raise ValueError("sparse features need a number for every index")
+    x = Csr(np.concatenate([[0], np.cumsum(many)]), j.to_numpy(), v.to_numpy().astype(float, copy=False), int(sizes[0]) if len(sizes) else 0)
+    if not np.isfinite(x.data).all():
+        raise ValueError("features must be finite numbers")
+    if len(x.indices) and (x.indices.min() < 0 or x.indices.max() >= x.d):
+        raise ValueError("sparse features must lie within their width")
+    return x
+
+
 def batch_matrix(column: pa.Array) -> np.ndarray:
     """A list column of one width, or a sparse struct column, as a matrix."""
     if pa.types.is_struct(column.type):
-        size, indices, values = column.field("size").to_pylist(), column.field("indices"), column.field("values")
-        if not size:
-            return np.zeros((0, 0))
-        out = np.zeros((len(size), max(size)))
-        rows = np.repeat(np.arange(len(size)), pa.compute.list_value_length(indices).to_numpy())
-        out[rows, indices.flatten().to_numpy()] = values.flatten().to_numpy()
-        return out
+        return batch_rows(column).toarray()
     n = len(column)
     if column.null_count:
         raise ValueError("features must not be null")
@@ -104,6 +129,13 @@ def list_column(z: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(z, float).ravel()))
 
 
+def sparse_column(n: int, width: int, rows: np.ndarray, cols: np.ndarray, values: np.ndarray) -> pa.Array:
+    """n sparse structs from non-zeros sorted by row."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]).astype(np.int32))
+    parts = [pa.array(np.full(n, width, np.int32)), pa.ListArray.from_arrays(offsets, pa.array(cols.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(values.astype(float)))]
+    return pa.StructArray.from_arrays(parts, ["size", "indices", "values"])
+
+
 def binary_target(df: DataFrame, label_col: str, out: str = "y") -> DataFrame:
     """df with labels of exactly two values encoded as -1 and 1 in their order; fails on others."""
     values = [r[0] for r in df.select(label_col).distinct().limit(3).collect()]

@@ -28,13 +28,28 @@ def write(df: DataFrame, path: str, mode: str = "error", partition_by: list[str]
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df to the cluster's shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
+    path = shared_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; where it is unset, in one of our own, on a single machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="kestrel-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/kestrel/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{root.rstrip('/')}/kestrel/{label}-{uuid.uuid4().hex}"
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def save_weights(spark: SparkSession, path: str, coef: np.ndarray, intercept: float, **facts) -> None:
