@@ -36,12 +36,12 @@ class DoublyMap:
         parts = [self.block(x, lo, min(lo + step, bases)) for lo in range(0, bases, step)]
         return np.concatenate(parts, axis=1) / math.sqrt(self.width(bases))
 
-    def predict(self, x: np.ndarray, coef: np.ndarray, step: int = 1024) -> np.ndarray:
-        """Unscaled block-wise dot product; a block of bases is all that is ever held."""
+    def predict(self, x: np.ndarray, coef: np.ndarray, step: int = 1024, first: int = 0) -> np.ndarray:
+        """Unscaled block-wise dot product with the bases from ``first`` on; a block of bases is all that is ever held."""
         per, out = self.columns_per_base, np.zeros(len(x))
         for lo in range(0, len(coef) // per, step):
             hi = min(lo + step, len(coef) // per)
-            out += self.block(x, lo, hi) @ coef[lo * per : hi * per]
+            out += self.block(x, first + lo, first + hi) @ coef[lo * per : hi * per]
         return out
 
     def transform(self, df: DataFrame, bases: int, features: str = "features", out: str = "z") -> DataFrame:

@@ -5,7 +5,8 @@
 * ``full_batch``: one aggregation gives the mean gradient, the driver takes the
   solver's step with it; the result does not depend on order or partitions;
 * ``distributed``: every partition runs the solver's own steps on its rows from
-  the broadcast state, and states are averaged by rows;
+  the broadcast state, ``step_rows`` rows a step as one matrix product, and states
+  are averaged by rows;
 * ``sequential``: one stream in the order of a digest of (seed, epoch, id), as a
   single machine would run it; for small data and equivalence tests.
 
@@ -17,18 +18,24 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from kestrel.operators.doubly import doubly
 from kestrel.operators.losses import CLASSIFIER_LOSSES, LOSSES, REGRESSOR_LOSSES, sigmoid_column
-from kestrel.operators.maps import FeatureMap, RBFSampler, SparseMB, _width, map_batches
+from kestrel.operators.maps import FeatureMap, RBFSampler, SparseMB, _width, batch_for, map_batches
 from kestrel.sources.features import batch_matrix, binary_target, numeric_target, width_of
-from kestrel.sources.tables import materialise
+from kestrel.sources.tables import discard, materialise
+
+#: Parts in which the rows of one id are numbered.
+KEY_PARTS = 64
 
 RATES = ("constant", "pegasos", "inv_scaling", "optimal", "original")
 
@@ -172,6 +179,11 @@ class Params:
     n_bases_sampled: int = 1
     eta1: float = 1e-4
     n_components: int = 1000
+    step_rows: int | None = None
+
+    def rows_a_step(self) -> int:
+        """Rows whose mean gradient is one step: one in sequence, else 4 where nothing else is asked for."""
+        return self.step_rows or (4 if self.mode == "distributed" else 1)
 
 
 def validate(p: Params, losses) -> None:
@@ -192,6 +204,7 @@ def validate(p: Params, losses) -> None:
     need(p.mode in ("full_batch", "distributed", "sequential"), f"unknown mode {p.mode!r}")
     need(p.learning_rate in RATES, f"unknown learning rate {p.learning_rate!r}")
     need(p.learning_rate != "pegasos" or (p.alpha > 0 and p.l1_ratio < 1), "pegasos needs alpha > 0 and l1_ratio < 1")
+    need(p.step_rows is None or p.step_rows >= 1, "step_rows must be at least 1")
     need(p.batch_size >= 1 and p.n_bases_sampled >= 1, "batch_size and n_bases_sampled must be at least 1")
 
 
@@ -235,7 +248,15 @@ class _Linear:
             raise TypeError(f"unknown parameters {sorted(unknown)}")
         self.p = Params(**({"loss": "squared_hinge" if self.classifier else "squared"} | self.defaults | params))
         validate(self.p, self.losses)
+        #: Mean loss of every epoch, and with the penalty of the weights that the epoch starts from.
         self.history: list[float] = []
+        self.objectives: list[float] = []
+
+    def penalty(self, w: np.ndarray) -> float:
+        """Penalty of weights with the intercept last."""
+        p, v = self.p, w[:-1]
+        smooth = p.alpha / p.C * (0.5 * (1 - p.l1_ratio) * float(v @ v) + p.l1_ratio * float(np.abs(v).sum()))
+        return smooth + 0.5 * p.intercept_decay / p.C * float(w[-1] ** 2)
 
     # training
 
@@ -264,18 +285,23 @@ class _Linear:
 
     def fit(self, df: DataFrame, features: str = "features", label: str = "label", id_col: str = "id"):
         """Train until max_iter epochs or a change of the coefficients below tol."""
-        rows = self._prepare(self._target(df, features, label, id_col))
-        rows.cache()
+        rows = self._stored(self._prepare(self._target(df, features, label, id_col)))
         try:
             for epoch in range(self.p.max_iter):
                 before = self.solver_.coefficients(self.state_).copy()
+                penalty = self.penalty(self.state_.w)
                 self._epoch(rows, epoch)
+                self.objectives.append(self.history[-1] + penalty)
                 if np.abs(self.solver_.coefficients(self.state_) - before).sum() < self.p.tol:
                     break
         finally:
             rows.unpersist()
         return self._finish()
 
+    def _stored(self, rows: DataFrame) -> DataFrame:
+        """What the epochs read."""
+        return rows.cache()
+
     def resume(self, d: int, t: int, flat: np.ndarray):
         """Take up training from a stored state (``state_.t`` and ``state_.pack()``) over rows of d features."""
         if self.p.normalize:
@@ -306,19 +332,32 @@ class _Linear:
             rows = rows.repartition(1).sortWithinPartitions(order, "__id")
         shared = rows.sparkSession.sparkContext.broadcast((self.solver_, self.state_, self._scorer(self.state_.w), LOSSES[self.p.loss]))
 
+        step = self.p.rows_a_step()
+
         def run(batches):
             solver, s, scorer, loss = shared.value
             s = State(s.w.copy(), s.t, dict(s.slots))
-            n, total = 0, 0.0
+            n, total, g, held = 0, 0.0, np.zeros(len(s.w)), 0
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                z, y = scorer.z(batch_matrix(batch.column(0))), batch.column(1).to_numpy()
-                for row, target in zip(z, y):
-                    margin = row @ s.w[:-1] + s.w[-1]
-                    total += float(loss.value(margin, target))
-                    solver.step(s, np.append(row, 1.0) * float(loss.dloss(margin, target)))
+                z, y = scorer.z(batch_for(scorer.map, batch.column(0))), batch.column(1).to_numpy()
+                lo = 0
+                while lo < len(y):
+                    part = slice(lo, lo + step - held)
+                    margin = z[part] @ s.w[:-1] + s.w[-1]
+                    d = loss.dloss(margin, y[part])
+                    total += float(np.sum(loss.value(margin, y[part])))
+                    g[:-1] += d @ z[part]
+                    g[-1] += d.sum()
+                    held += len(d)
+                    lo += len(d)
+                    if held == step:
+                        solver.step(s, g / held)
+                        g, held = np.zeros(len(s.w)), 0
                 n += len(y)
+            if held:
+                solver.step(s, g / held)
             if n:
                 flat = np.concatenate([s.pack(), [total / n]])
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * n), pa.array(np.full(len(flat), n, np.int64))], ["j", "s", "n"])
@@ -328,7 +367,7 @@ class _Linear:
         order = np.argsort(means.column("j").to_numpy())
         flat, n = means.column("v").to_numpy()[order], int(means.column("n").to_numpy()[0])
         self.history.append(float(flat[-1]))
-        self.state_ = self.state_.unpack(flat[:-1], self.state_.t + n)
+        self.state_ = self.state_.unpack(flat[:-1], self.state_.t + -(-n // step))
 
     # serving
 
@@ -358,7 +397,7 @@ def mean_gradient(rows: DataFrame, scorer, loss_name: str) -> tuple[np.ndarray,
         total = None
         for batch in batches:
             if batch.num_rows:
-                z, y = scorer.z(batch_matrix(batch.column(0))), batch.column(1).to_numpy()
+                z, y = scorer.z(batch_for(scorer.map, batch.column(0))), batch.column(1).to_numpy()
                 p = z @ scorer.coef + scorer.intercept
                 d = loss.dloss(p, y)
                 part = np.concatenate([d @ z, [d.sum(), loss.value(p, y).sum(), len(y)]])
@@ -380,7 +419,7 @@ def moments(df: DataFrame, m, features: str) -> tuple[np.ndarray, np.ndarray]:
         total = None
         for batch in batches:
             if batch.num_rows:
-                z = m.apply(_width(m, batch_matrix(batch.column(0))))
+                z = m.apply(_width(m, batch_for(m, batch.column(0))))
                 mean = z.mean(axis=0)
                 part = (len(z), mean, ((z - mean) ** 2).sum(axis=0))
                 if total is None:
@@ -411,28 +450,41 @@ def r2(df: DataFrame, label: str, prediction: str) -> float:
 
 
 class _Keyed(_Linear):
-    """Solvers with a number a row (SAGA gradients, SDCA duals), kept in a table keyed by id.
+    """Solvers with a number a row (SAGA gradients, SDCA duals), stored beside the row.
 
-    Each round joins the table, partitions run local steps on their rows, and both
-    the new numbers and the partition's change of the state come back through one
-    written table.
+    An epoch reads the stored rows and writes them with their new numbers; there is
+    no join and no shuffle, and a row has one number whatever its id.  A warm start
+    finds the numbers again by the id, a part by the row's content and the place
+    within it, so rows that repeat or lack an id keep theirs too.
     """
 
+    def _stored(self, rows):
+        content = F.xxhash64("__x", "__y")
+        keyed = rows.withColumn("__part", F.pmod(content, F.lit(KEY_PARTS)).cast("int"))
+        keyed = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__part").orderBy(content)))
+        if self.p.warm_start and hasattr(self, "rows_"):
+            names = ("__id", "__part", "__n")
+            known = self.rows_.select(*(F.col(c).alias(f"{c}_") for c in names), "m")
+            keyed = keyed.join(known, reduce(and_, (F.col(c).eqNullSafe(F.col(f"{c}_")) for c in names)), "left")
+            keyed = keyed.select("__id", "__part", "__n", "__x", "__y", F.coalesce("m", F.lit(0.0)).alias("m"))
+        else:
+            keyed = keyed.select("__id", "__part", "__n", "__x", "__y", F.lit(0.0).alias("m"))
+        self.rows_ = materialise(keyed, "keyed-rows")
+        self.n_rows_ = self.rows_.count()
+        return self.rows_
+
     def _epoch(self, rows, epoch):
-        spark = rows.sparkSession
-        n = getattr(self, "n_rows_", None) or rows.count()
-        self.n_rows_ = n
-        if not hasattr(self, "memory_") or not self.p.warm_start and epoch == 0:
-            self.memory_ = rows.select("__id", F.lit(0.0).alias("m"))
-        joined = rows.join(self.memory_, "__id", "left").select("__id", "__x", "__y", F.coalesce("m", F.lit(0.0)).alias("m"))
+        rows, n = self.rows_, self.n_rows_
+        if not n:
+            return
+        spark, written = rows.sparkSession, rows
         one = self.p.mode != "distributed"
         if one:
             order = F.md5(F.concat_ws("|", F.lit(self.p.seed), F.lit(epoch), F.col("__id").cast("string")))
-            joined = joined.repartition(1).sortWithinPartitions(order, "__id")
-        joined = joined.withColumn("k", F.col("__id").cast("string"))
-        parts = 1 if one else max(1, joined.rdd.getNumPartitions())
+            rows = rows.repartition(1).sortWithinPartitions(order, "__id", "__part", "__n")
+        parts = 1 if one else max(1, rows.rdd.getNumPartitions())
         shared = spark.sparkContext.broadcast((self._scorer(self.state_.w), self.state_, LOSSES[self.p.loss], n, parts, self.solver_))
-        local = self._local
+        local, step = self._local, self.p.rows_a_step()
 
         def run(batches):
             scorer, state, loss, n, parts, solver = shared.value
@@ -441,20 +493,30 @@ class _Keyed(_Linear):
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                z, y, m = scorer.z(batch_matrix(batch.column(1))), batch.column(2).to_numpy(), batch.column(3).to_numpy().copy()
-                total += local(solver, s, np.concatenate([z, np.ones((len(z), 1))], axis=1), y, m, loss, n, parts)
+                types = batch.schema.types
+                z, y, m = scorer.z(batch_for(scorer.map, batch.column(3))), batch.column(4).to_numpy(), batch.column(5).to_numpy().copy()
+                z = np.concatenate([z, np.ones((len(z), 1))], axis=1)
+                for lo in range(0, len(y), step):
+                    some = slice(lo, lo + step)
+                    total += local(solver, s, z[some], y[some], m[some], loss, n, parts)
                 rows_seen += len(y)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(m), -1)), pa.array(m), pa.array(np.zeros(len(m)))], ["k", "j", "v", "n"])
+                empty = pa.nulls(len(m), pa.float64())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(m), pa.nulls(len(m), pa.int64()), empty, empty], names)
             if rows_seen:
                 flat = np.append(s.pack(), total / rows_seen)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(flat), pa.string()), pa.array(np.arange(len(flat))), pa.array(flat * rows_seen), pa.array(np.full(len(flat), float(rows_seen)))], ["k", "j", "v", "n"])
-
-        out = materialise(joined.select("k", "__x", "__y", "m").mapInArrow(run, "k string, j long, v double, n double"), "keyed-epoch")
-        self.memory_ = out.where("j = -1").select(F.col("k").cast(rows.schema["__id"].dataType).alias("__id"), F.col("v").alias("m"))
-        means = out.where("j >= 0").groupBy("j").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow()
+                lost = [pa.nulls(len(flat), t) for t in types]
+                yield pa.RecordBatch.from_arrays([*lost, pa.array(np.arange(len(flat))), pa.array(flat * rows_seen), pa.array(np.full(len(flat), float(rows_seen)))], names)
+
+        schema = StructType([StructField(f.name, f.dataType) for f in rows.schema.fields]).add("j", LongType()).add("v", DoubleType()).add("n", DoubleType())
+        names = schema.names
+        out = materialise(rows.mapInArrow(run, schema), "keyed-epoch")
+        self.rows_ = out.where("j IS NULL").drop("j", "v", "n")
+        means = out.where("j IS NOT NULL").groupBy("j").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow()
         flat = means.column("v").to_numpy()[np.argsort(means.column("j").to_numpy())]
         self.history.append(float(flat[-1]))
-        self.state_ = self.state_.unpack(flat[:-1], self.state_.t + n)
+        self.state_ = self.state_.unpack(flat[:-1], self.state_.t + -(-n // step))
+        shared.unpersist()
+        discard(written)
 
 
 class SAG(Solver):
@@ -470,22 +532,18 @@ class _SAGA(_Keyed):
 
     @staticmethod
     def _local(solver, s, z, y, m, loss, n, parts):
-        p, total = solver.p, 0.0
-        mean = s.slots["mean_g"]
-        for i in range(len(z)):
-            margin = z[i] @ s.w
-            total += float(loss.value(margin, y[i]))
-            new = float(loss.dloss(margin, y[i]))
-            eta = learning_rate(p.learning_rate, s.t, p.eta0, solver.l2, p.power_t)
-            change = (new - m[i]) * z[i]
-            g = change / (1.0 if p.is_saga else n) + mean + np.append(solver.l2 * s.w[:-1], solver.decay * s.w[-1])
-            w = s.w - eta * g
-            s.w = np.append(soft(w[:-1], solver.l1 * eta), w[-1] if p.fit_intercept else 0.0)
-            mean = mean + change * parts / n  # averaging over partitions makes it the sum over rows by n
-            m[i] = new
-            s.t += 1
-        s.slots["mean_g"] = mean
-        return total
+        p, mean = solver.p, s.slots["mean_g"]
+        margin = z @ s.w
+        new = loss.dloss(margin, y)
+        eta = learning_rate(p.learning_rate, s.t, p.eta0, solver.l2, p.power_t)
+        change = (new - m) @ z
+        g = change / (len(y) if p.is_saga else n) + mean + np.append(solver.l2 * s.w[:-1], solver.decay * s.w[-1])
+        w = s.w - eta * g
+        s.w = np.append(soft(w[:-1], solver.l1 * eta), w[-1] if p.fit_intercept else 0.0)
+        s.slots["mean_g"] = mean + change * parts / n  # averaging over partitions makes it the sum over rows by n
+        m[:] = new
+        s.t += 1
+        return float(np.sum(loss.value(margin, y)))
 
 
 class SDCASolver(Solver):
@@ -508,67 +566,125 @@ class _SDCA(_Keyed):
 
     @staticmethod
     def _local(solver, s, z, y, m, loss, n, parts):
-        total, l2, l1 = 0.0, solver.l2, solver.l1
+        l2, l1 = solver.l2, solver.l1
         scale = np.ones(z.shape[1])
         scale[-1] = math.sqrt(l2 / solver.decay) if solver.decay > 0 and solver.p.fit_intercept else 0.0
-        u = s.slots["u"]
-        for i in range(len(z)):
-            v = z[i] * scale
-            w = np.append(soft(u[:-1], l1 / l2), u[-1])
-            margin = v @ w
-            total += float(loss.value(margin, y[i]))
-            # each of several partitions takes its step against a share of the rows
-            step = float(loss.sdca_update(m[i], y[i], margin, (v @ v) * parts / (l2 * n)))
-            m[i] += step / parts
-            u = u + step * v / (l2 * n)
-            s.t += 1
+        u, v = s.slots["u"], z * scale
+        margin = v @ np.append(soft(u[:-1], l1 / l2), u[-1])
+        # rows that step at once, here and in other partitions, each step against a share of the rows
+        step = loss.sdca_update(m, y, margin, (v * v).sum(axis=1) * parts * len(y) / (l2 * n))
+        m += step / parts
+        u = u + step @ v / (l2 * n)
+        s.t += 1
         s.slots["u"] = u
         s.w = np.append(soft(u[:-1], l1 / l2), u[-1] * scale[-1])
-        return total
+        return float(np.sum(loss.value(margin, y)))
 
 
 class _Doubly(_Linear):
     """Doubly stochastic gradient: each mini-batch adds bases that are regenerated from the seed.
 
-    A step is one aggregation over the batch, which is a digest-picked share of the
-    rows; old coefficients shrink and the new ones are -eta mean(dloss z).
+    An epoch is one pass.  In every partition (``distributed``), or in one stream in
+    the order of a digest (``sequential``), mini-batches of ``batch_size`` rows take
+    a step each with new bases of their own: old coefficients shrink, the new ones are
+    -eta mean(dloss z).  Partitions number their bases apart, and the model is the
+    mean of theirs by rows.  A stream's last mini-batch is filled up with the rows
+    before it.  ``full_batch`` makes one step an epoch, over all rows.
     """
 
     defaults = dict(eta0=0.1, alpha=1e-3, intercept_decay=1e-4, learning_rate="optimal", power_t=1.0, average=0)
 
     def fit(self, df, features="features", label="label", id_col="id"):
-        rows = self._target(df, features, label, id_col)
-        rows.cache()
-        try:
-            n = rows.count()
-            if not (self.p.warm_start and hasattr(self, "base_")):
-                self.base_ = doubly(self.p.transformer or RBFSampler(seed=self.p.seed), width_of(rows, "__x"))
-                self.coef_, self.intercept_, self.t_ = np.zeros(0), 0.0, 1
-            batches = max(1, -(-n // min(self.p.batch_size, n)))
-            l1, l2 = self.p.alpha / self.p.C * self.p.l1_ratio, self.p.alpha / self.p.C * (1 - self.p.l1_ratio)
-            decay = self.p.intercept_decay / self.p.C
-            for epoch in range(self.p.max_iter):
-                dealt = rows.withColumn("lot", F.pmod(F.xxhash64(F.lit(self.p.seed), F.lit(epoch), F.col("__id")), F.lit(batches)))
-                before = self.coef_.copy()
-                for lot in range(batches):
-                    part = dealt.where(F.col("lot") == lot)
-                    bases = len(self.coef_) // self.base_.columns_per_base
-                    g = self._new_gradient(part, bases)
-                    if g is None:
-                        continue
-                    eta = learning_rate(self.p.learning_rate, self.t_, self.p.eta0, l2, self.p.power_t, self.p.eta1)
-                    self.coef_ = np.concatenate([soft((1 - eta * l2) * self.coef_, l1 * eta), soft(-eta * g[:-1], l1 * eta)])
-                    if self.p.fit_intercept:
-                        self.intercept_ -= eta * (g[-1] + decay * self.intercept_)
-                    self.t_ += 1
-                if len(before) and np.abs(self.coef_[: len(before)] - before).sum() + np.abs(self.coef_[len(before) :]).sum() < self.p.tol:
-                    break
-        finally:
-            rows.unpersist()
+        rows = materialise(self._target(df, features, label, id_col), "doubly-rows")
+        if not (self.p.warm_start and hasattr(self, "base_")):
+            self.base_ = doubly(self.p.transformer or RBFSampler(seed=self.p.seed), width_of(rows, "__x"))
+            self.coef_, self.intercept_, self.t_ = np.zeros(0), 0.0, 1
+        for epoch in range(self.p.max_iter):
+            before = self.coef_
+            self._epoch(rows, epoch)
+            if len(before) and np.abs(self.coef_[: len(before)] - before).sum() + np.abs(self.coef_[len(before) :]).sum() < self.p.tol:
+                break
+        discard(rows)
         return self
 
-    def _new_gradient(self, part: DataFrame, bases: int):
-        shared = part.sparkSession.sparkContext.broadcast((self.base_, self.coef_, self.intercept_, LOSSES[self.p.loss], bases, bases + self.p.n_bases_sampled))
+    def _epoch(self, rows, epoch):
+        if self.p.mode == "sequential":
+            order = F.md5(F.concat_ws("|", F.lit(self.p.seed), F.lit(epoch), F.col("__id").cast("string")))
+            rows = rows.repartition(1).sortWithinPartitions(order, "__id")
+        rows = rows.select("__x", "__y")
+
+        def sizes(batches):
+            n = sum(b.num_rows for b in batches)
+            yield pa.RecordBatch.from_pydict({"p": pa.array([TaskContext.get().partitionId()], pa.int64()), "n": pa.array([n], pa.int64())})
+
+        # how many rows each partition has says which bases are its own; a row a partition on the driver
+        held = {r.p: r.n for r in rows.mapInArrow(sizes, "p long, n long").collect()}
+        n = sum(held.values())
+        size = n if self.p.mode == "full_batch" else min(self.p.batch_size, n)
+        if self.p.mode == "full_batch":
+            return self._whole(rows, n)
+        per, more, starts, at = self.base_.columns_per_base, self.p.n_bases_sampled, {}, len(self.coef_) // self.base_.columns_per_base
+        for p in sorted(held):
+            starts[p] = at
+            at += -(-held[p] // size) * more
+        p = self.p
+        l1, l2, decay = p.alpha / p.C * p.l1_ratio, p.alpha / p.C * (1 - p.l1_ratio), p.intercept_decay / p.C
+        shared = rows.sparkSession.sparkContext.broadcast((self.base_, self.coef_, self.intercept_, LOSSES[p.loss], starts))
+        t0 = self.t_
+
+        def run(batches):
+            base, old, b, loss, starts = shared.value
+            start = starts[TaskContext.get().partitionId()]
+            new, t, seen, total, old = np.zeros(0), t0, 0, 0.0, old.copy()
+            x, y, fresh = None, None, 0
+
+            def step(x, y, fresh):
+                nonlocal old, new, b, t, total
+                lo = start + len(new) // per
+                margin = base.predict(x, old) + base.predict(x, new, first=start) + b
+                d = loss.dloss(margin, y)
+                total += float(np.sum(loss.value(margin, y)[len(y) - fresh :]))
+                eta = learning_rate(p.learning_rate, t, p.eta0, l2, p.power_t, p.eta1)
+                old, new = (soft((1 - eta * l2) * c, l1 * eta) for c in (old, new))
+                new = np.concatenate([new, soft(-eta * (d @ base.block(x, lo, lo + more)) / len(y), l1 * eta)])
+                if p.fit_intercept:
+                    b -= eta * (d.mean() + decay * b)
+                t += 1
+
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                bx, by = batch_matrix(batch.column(0)), batch.column(1).to_numpy()
+                x, y = (bx, by) if x is None else (np.concatenate([x, bx]), np.concatenate([y, by]))
+                fresh, seen = fresh + len(by), seen + len(by)
+                while fresh >= size:
+                    lo = len(y) - fresh
+                    step(x[lo : lo + size], y[lo : lo + size], size)
+                    fresh -= size
+                keep = max(fresh, min(size, len(y)))
+                x, y = x[len(y) - keep :], y[len(y) - keep :]
+            if fresh:
+                step(x[-size:], y[-size:], fresh)
+            if seen:
+                j = np.concatenate([np.arange(len(old)), start * per + np.arange(len(new)), [-1, -2]])
+                yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int64)), pa.array(np.concatenate([old, new, [b, total / seen]]) * seen)], ["j", "s"])
+
+        sums = rows.mapInArrow(run, "j long, s double").groupBy("j").agg(F.sum("s").alias("s")).toArrow()  # a row a coefficient
+        flat = np.zeros(at * per + 2)
+        flat[sums.column("j").to_numpy()] = sums.column("s").to_numpy() / max(1, n)
+        self.coef_, self.intercept_ = flat[:-2], float(flat[-1])
+        self.history.append(float(flat[-2]))
+        self.t_ += max([0, *(-(-k // size) for k in held.values())]) if n else 0
+        shared.unpersist()
+
+    def _whole(self, rows: DataFrame, n: int) -> None:
+        """One step with the mean gradient of all rows."""
+        if not n:
+            return
+        p = self.p
+        bases = len(self.coef_) // self.base_.columns_per_base
+        l1, l2 = p.alpha / p.C * p.l1_ratio, p.alpha / p.C * (1 - p.l1_ratio)
+        shared = rows.sparkSession.sparkContext.broadcast((self.base_, self.coef_, self.intercept_, LOSSES[p.loss], bases, bases + p.n_bases_sampled))
 
         def run(batches):
             base, coef, intercept, loss, lo, hi = shared.value
@@ -576,100 +692,182 @@ class _Doubly(_Linear):
             for batch in batches:
                 if batch.num_rows:
                     x, y = batch_matrix(batch.column(0)), batch.column(1).to_numpy()
-                    d = loss.dloss(base.predict(x, coef) + intercept, y)
-                    one = np.concatenate([d @ base.block(x, lo, hi), [d.sum(), len(y)]])
+                    margin = base.predict(x, coef) + intercept
+                    d = loss.dloss(margin, y)
+                    one = np.concatenate([d @ base.block(x, lo, hi), [d.sum(), loss.value(margin, y).sum()]])
                     total = one if total is None else total + one
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["j", "s"])
 
-        sums = part.select("__x", "__y").mapInArrow(run, "j long, s double").groupBy("j").agg(F.sum("s").alias("s")).toArrow()
-        if not sums.num_rows:
-            return None
-        flat = sums.column("s").to_numpy()[np.argsort(sums.column("j").to_numpy())]
-        return flat[:-1] / flat[-1]
+        sums = rows.mapInArrow(run, "j long, s double").groupBy("j").agg(F.sum("s").alias("s")).toArrow()
+        g = sums.column("s").to_numpy()[np.argsort(sums.column("j").to_numpy())] / n
+        eta = learning_rate(p.learning_rate, self.t_, p.eta0, l2, p.power_t, p.eta1)
+        self.coef_ = np.concatenate([soft((1 - eta * l2) * self.coef_, l1 * eta), soft(-eta * g[:-2], l1 * eta)])
+        if p.fit_intercept:
+            self.intercept_ -= eta * (g[-2] + p.intercept_decay / p.C * self.intercept_)
+        self.history.append(float(g[-1]))
+        self.t_ += 1
+        shared.unpersist()
 
 
 class _SparseMB(_Linear):
     """Linear model on SparseMB cells with a tri-diagonal smoothness penalty, in the primal.
 
-    Every round one aggregation gives the curvature Z'CZ and the gradient, whose
-    size is the map's width.  The driver goes to the minimum of that quadratic, the
-    point where coordinate descent on it ends, and halves the step until the
-    objective falls, each try one more aggregation.
+    Newton steps, each solved by conjugate gradients: a product with the curvature is
+    one aggregation of as many numbers as there are cells, and rows are never mapped
+    wider than their two cells a feature.  The curvature between neighbouring cells,
+    with the penalty a tri-diagonal matrix, is the preconditioner.  The end is the
+    point where coordinate descent on the same objective ends.
     """
 
     defaults = dict(alpha=1.0, eps=1e-4, n_components=1000, mode="full_batch")
     losses = REGRESSOR_LOSSES
 
     def fit(self, df, features="features", label="label", id_col="id"):
-        rows = self._target(df, features, label, id_col)
-        rows.cache()
+        rows = self._target(df, features, label, id_col).cache()
         try:
             if not (self.p.warm_start and hasattr(self, "coef_")):
                 self.map_ = SparseMB(self.p.n_components).fit(width_of(rows, "__x"))
                 self.coef_, self.intercept_ = np.zeros(self.map_.width), 0.0
             self.mean_ = self.std_ = None
-            n = self.map_.width
-            h = (2 + self.p.eps) * np.eye(n) - np.eye(n, k=1) - np.eye(n, k=-1)
-            h[0, 0] = h[-1, -1] = 1 + self.p.eps
-            alpha = self.p.alpha / self.p.C
-            value, curve, g = self._quadratic(rows, alpha, h)
+            n, alpha = self.map_.width, self.p.alpha / self.p.C
+            band = np.full(n, 2 + self.p.eps), np.full(max(0, n - 1), -1.0)
+            band[0][0] = band[0][-1] = 1 + self.p.eps
+
+            def penalty(v):
+                out = band[0] * v
+                out[1:] += band[1] * v[:-1]
+                out[:-1] += band[1] * v[1:]
+                return alpha * out
+
+            def objective(w):
+                value, g, diagonal, beside = self._slope(rows, w)
+                smooth = penalty(w[:-1])
+                g[:-1] += smooth
+                return value + 0.5 * float(w[:-1] @ smooth), g, diagonal, beside
+
+            w = np.append(self.coef_, self.intercept_)
+            value, g, diagonal, beside = objective(w)
             for _ in range(self.p.max_iter):
-                w = np.append(self.coef_, self.intercept_)
-                step = _minimiser(curve, g, self.p.fit_intercept)
+                if not self.p.fit_intercept:
+                    g[-1] = 0.0
+                precondition = _tridiagonal(diagonal[:-1] + alpha * band[0], beside + alpha * band[1])
+                scaled = lambda r, c=diagonal[-1], solve=precondition: np.append(solve(r[:-1]), r[-1] / max(c, 1e-12))
+                if float(g @ scaled(g)) <= 1e-3 * self.p.tol:  # what a step can still gain
+                    break
+                step = self._newton(rows, w, g, penalty, scaled)
                 size = 1.0
                 while True:
-                    self.coef_, self.intercept_ = (w + size * step)[:-1], float((w + size * step)[-1])
-                    new = self._quadratic(rows, alpha, h)
+                    new = objective(w + size * step)
                     if new[0] <= value + 1e-12 or size < 1e-6:
                         break
                     size /= 2
                 self.history.append(new[0])
-                done = value - new[0] < self.p.tol
-                value, curve, g = new
+                w, done = w + size * step, value - new[0] < self.p.tol
+                value, g, diagonal, beside = new
                 if done:
                     break
-            self.state_, self.solver_ = State(np.append(self.coef_, self.intercept_)), SGD(self.p)
+            self.coef_, self.intercept_ = w[:-1], float(w[-1])
+            self.state_, self.solver_ = State(w), SGD(self.p)
         finally:
             rows.unpersist()
         return self
 
-    def _quadratic(self, rows, alpha, h):
-        shared = rows.sparkSession.sparkContext.broadcast((self._scorer(np.append(self.coef_, self.intercept_)), LOSSES[self.p.loss], self.p.loss))
+    def _newton(self, rows, w, g, penalty, precondition) -> np.ndarray:
+        """The step to the minimum of the quadratic at w, by conjugate gradients."""
+        exact, most = (1e-10, 2 * len(g) + 20) if self.p.loss == "squared" else (0.1, 25)  # only a quadratic is worth an exact step
+        x, r = np.zeros(len(g)), -g
+        z = precondition(r)
+        p, rz, first = z, float(r @ z), float(r @ z)
+        for _ in range(most):
+            if rz <= exact**2 * first or rz <= 1e-300:
+                break
+            if not self.p.fit_intercept:
+                p = np.append(p[:-1], 0.0)
+            q = self._curved(rows, w, p)
+            q[:-1] += penalty(p[:-1])
+            size = rz / max(float(p @ q), 1e-300)
+            x, r = x + size * p, r - size * q
+            if not self.p.fit_intercept:
+                r[-1] = 0.0
+            z = precondition(r)
+            p, rz = z + float(r @ z) / rz * p, float(r @ z)
+        return x
+
+    def _sums(self, rows, w, function, width: int) -> np.ndarray:
+        """Sums over all rows of function(cells, shares, margins, targets, loss); a row a number on the driver."""
+        shared = rows.sparkSession.sparkContext.broadcast((self.map_, w, LOSSES[self.p.loss]))
 
         def run(batches):
-            scorer, loss, name = shared.value
-            curve = g = None
-            value, n = 0.0, 0
+            m, w, loss = shared.value
+            total = np.zeros(width)
             for batch in batches:
                 if batch.num_rows:
-                    z, y = scorer.z(batch_matrix(batch.column(0))), batch.column(1).to_numpy()
-                    p = z @ scorer.coef + scorer.intercept
-                    z = np.concatenate([z, np.ones((len(z), 1))], axis=1)
-                    c = np.ones(len(y)) if name == "squared" else 2.0 * (p * y < 1) if name == "squared_hinge" else np.maximum(0.25 * np.exp(-np.abs(p) / 2), 1e-6)
-                    curve = (z * c[:, None]).T @ z + (0 if curve is None else curve)
-                    g = loss.dloss(p, y) @ z + (0 if g is None else g)
-                    value, n = value + float(loss.value(p, y).sum()), n + len(y)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(g) + 1)), pa.array([*curve.tolist(), [*g.tolist(), value]], pa.list_(pa.float64()))], ["j", "row"])
-
-        size = self.map_.width + 1
-        rows = rows.select("__x", "__y").mapInArrow(run, "j long, row array<double>")
-        sums = rows.select("j", F.posexplode("row").alias("c", "v")).groupBy("j", "c").agg(F.sum("v").alias("v")).toArrow()
-        flat = np.zeros((size + 1, size + 1))
-        flat[sums.column("j").to_numpy(), sums.column("c").to_numpy()] = sums.column("v").to_numpy()
-        curve, g, value = flat[:size, :size], flat[size, :size], flat[size, size]
-        curve[:-1, :-1] += alpha * h
-        g[:-1] += alpha * (h @ self.coef_)
-        return value + 0.5 * alpha * float(self.coef_ @ h @ self.coef_), curve, g
-
-
-def _minimiser(curve, g, intercept: bool) -> np.ndarray:
-    """The step to the minimum of the quadratic, where cyclic coordinate steps would end."""
-    n = len(g) if intercept else len(g) - 1
-    step = np.zeros(len(g))
-    step[:n] = np.linalg.lstsq(curve[:n, :n], -g[:n], rcond=None)[0]
-    return step
+                    cell, share, below = m.cells(_width(m, batch_matrix(batch.column(0))))
+                    margin = (w[cell] * share).sum(axis=1) + (w[cell - 1] * below).sum(axis=1) + w[-1]
+                    total += function(cell, share, below, margin, batch.column(1).to_numpy(), loss)
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["j", "s"])
+
+        sums = rows.select("__x", "__y").mapInArrow(run, "j long, s double").groupBy("j").agg(F.sum("s").alias("s")).toArrow()
+        out = np.zeros(width)
+        out[sums.column("j").to_numpy()] = sums.column("s").to_numpy()
+        shared.unpersist()
+        return out
+
+    def _slope(self, rows, w):
+        """Loss, its gradient, and the curvature's diagonal (intercept last) and first side diagonal."""
+        n, name = self.map_.width, self.p.loss
+
+        def function(cell, share, below, margin, y, loss):
+            d, c = loss.dloss(margin, y), _curvature(name, margin, y)[:, None]
+            add = lambda cells, v: np.bincount(cells.ravel(), weights=v.ravel(), minlength=n)[:n]
+            g = add(cell, d[:, None] * share) + add(np.maximum(cell - 1, 0), d[:, None] * below)
+            diagonal = add(cell, c * share**2) + add(np.maximum(cell - 1, 0), c * below**2)
+            beside = add(np.maximum(cell - 1, 0), c * share * below)
+            return np.concatenate([[loss.value(margin, y).sum()], g, [d.sum()], diagonal, [c.sum()], beside])
+
+        flat = self._sums(rows, w, function, 3 * n + 3)
+        return float(flat[0]), flat[1 : n + 2], flat[n + 2 : 2 * n + 3], flat[2 * n + 3 : 3 * n + 2]
+
+    def _curved(self, rows, w, v):
+        """The curvature of the loss times v."""
+        n, name = self.map_.width, self.p.loss
+
+        def function(cell, share, below, margin, y, loss):
+            along = (v[cell] * share).sum(axis=1) + (v[cell - 1] * below).sum(axis=1) + v[-1]
+            d = _curvature(name, margin, y) * along
+            add = lambda cells, x: np.bincount(cells.ravel(), weights=x.ravel(), minlength=n)[:n]
+            return np.append(add(cell, d[:, None] * share) + add(np.maximum(cell - 1, 0), d[:, None] * below), d.sum())
+
+        return self._sums(rows, w, function, n + 1)
+
+
+def _curvature(name: str, p, y):
+    """A curvature of the loss that keeps Newton steps safe."""
+    if name == "squared":
+        return np.ones(len(y))
+    return 2.0 * (p * y < 1) if name == "squared_hinge" else np.maximum(0.25 * np.exp(-np.abs(p) / 2), 1e-6)
+
+
+def _tridiagonal(diagonal, beside):
+    """A function that solves a symmetric tri-diagonal positive system, by elimination."""
+    n = len(diagonal)
+    lead, factor = diagonal.copy(), np.zeros(n)
+    for i in range(1, n):
+        factor[i] = beside[i - 1] / lead[i - 1]
+        lead[i] -= factor[i] * beside[i - 1]
+
+    def solve(r):
+        x = r.copy()
+        for i in range(1, n):
+            x[i] -= factor[i] * x[i - 1]
+        x[-1] /= lead[-1]
+        for i in range(n - 2, -1, -1):
+            x[i] = x[i] / lead[i] - factor[i + 1] * x[i + 1]
+        return x
+
+    return solve
 
 
 class _Classifier:

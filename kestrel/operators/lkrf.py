@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions.linalg import project_simplex
-from kestrel.operators.maps import FeatureMap, RBFSampler, _width
-from kestrel.sources.features import batch_matrix, width_of
+from kestrel.operators.maps import FeatureMap, RBFSampler, _width, batch_for
+from kestrel.sources.features import width_of
 
 
 def signed_sums(df: DataFrame, m: FeatureMap, features: str = "features", y: str = "y") -> np.ndarray:
@@ -27,7 +27,7 @@ def signed_sums(df: DataFrame, m: FeatureMap, features: str = "features", y: str
         m, total = shared.value, None
         for batch in batches:
             if batch.num_rows:
-                part = batch.column(1).to_numpy() @ m.apply(_width(m, batch_matrix(batch.column(0))))
+                part = batch.column(1).to_numpy() @ m.apply(_width(m, batch_for(m, batch.column(0))))
                 total = part if total is None else total + part
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["j", "s"])
@@ -38,16 +38,22 @@ def signed_sums(df: DataFrame, m: FeatureMap, features: str = "features", y: str
     return out
 
 
+#: Steps in which the penalty of ADMM adapts.
+ADAPT = 100
+
+
 def _admm(v, lam, n, prox, max_iter, mu, tau_incr, tau_decr, eps_abs, eps_rel):
-    """p on the simplex and z under the divergence, with adaptive penalty."""
+    """p on the simplex and z under the divergence; the penalty adapts in the first steps, since one that never rests need not converge."""
     penalty, z, u = 1.0, np.full(n, 1.0 / n), np.zeros(n)
-    for _ in range(max_iter):
+    for k in range(max_iter):
         p = project_simplex(z - u + v / penalty)
         was, z = z, prox(p + u, lam / penalty)
         u = u + p - z
         primal, dual = np.linalg.norm(p - z), penalty * np.linalg.norm(z - was)
         if primal <= math.sqrt(n) * eps_abs + eps_rel * max(np.linalg.norm(p), np.linalg.norm(z)) and dual <= math.sqrt(n) * eps_abs + eps_rel * penalty * np.linalg.norm(u):
             break
+        if k >= ADAPT:
+            continue
         if primal > mu * dual:
             penalty, u = penalty * tau_incr, u / tau_incr
         elif dual > mu * primal:
