@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kestrel.functions import kernels, linalg, rng
+from kestrel.functions.sparse import Csr, Postings
 from kestrel.operators import gram, linear, lkrf, maps
 from kestrel.operators.doubly import doubly
 from kestrel.operators.losses import LOSSES
@@ -410,8 +411,12 @@ def test_warm_start_continues(spark):
 
 def test_doubly_sgd(spark):
     df = frame(spark, XS, LABELS)
-    model = linear.DoublySGDClassifier(transformer=maps.RBFSampler(10, 0.5, 2), loss="logistic", batch_size=40, n_bases_sampled=16, eta0=1.0, max_iter=3, tol=0.0).fit(df)
+    make = lambda mode: linear.DoublySGDClassifier(transformer=maps.RBFSampler(10, 0.5, 2), loss="logistic", mode=mode, batch_size=40, n_bases_sampled=16, eta0=1.0, max_iter=3, tol=0.0)
+    model = make("sequential").fit(df)
     assert len(model.coef_) == 3 * 4 * 16 and model.score(df) > 0.7
+    apart = make("distributed").fit(df.repartition(3))  # at least as many steps: a partition's last mini-batch may be a part of one
+    assert len(apart.coef_) >= 3 * 4 * 16 and apart.score(df) > 0.7
+    assert len(make("full_batch").fit(df).coef_) == 3 * 16
     a, b = (sorted((r.id, r.margin) for r in model.decision_function(df).select("id", "margin").collect()) for _ in range(2))
     assert a == b
 
@@ -459,3 +464,105 @@ def test_model_round_trip(spark, tmp_path):
     save_weights(spark, str(tmp_path / "m"), np.arange(3.0), 0.5, seed=4)
     coef, intercept, facts = load_weights(spark, str(tmp_path / "m"))
     assert coef.tolist() == [0, 1, 2] and intercept == 0.5 and facts == {"seed": 4}
+
+
+# stored numbers of rows, sparse rows, grids ---------------------------------------
+
+
+@pytest.mark.parametrize("kind,loss", [(linear.SAGAClassifier, "logistic"), (linear.SDCAClassifier, "squared_hinge")])
+@pytest.mark.parametrize("mode", ["sequential", "distributed"])
+def test_rows_keep_one_number_whatever_their_ids(spark, kind, loss, mode):
+    data = [(None if i % 4 == 0 else i % 7, XS[i % 20].tolist(), float(LABELS[i % 20])) for i in range(60)]  # ids repeat, rows repeat
+    df = spark.createDataFrame(data, "id long, features array<double>, label double")
+    model = kind(transformer=MAP(), loss=loss, mode=mode, alpha=0.01, max_iter=4, tol=0.0, warm_start=True).fit(df)
+    assert model.rows_.count() == 60
+    before = sorted(r.m for r in model.rows_.collect())
+    model.p.max_iter = 1
+    model.fit(df.repartition(2))  # a warm start finds the numbers again
+    after = sorted(r.m for r in model.rows_.collect())
+    assert model.rows_.count() == 60 and np.abs(np.array(before) - after).max() < 0.5 and any(before)
+
+
+def test_sequential_saga_against_a_loop(spark):
+    z = np.concatenate([ZS, np.ones((N, 1))], axis=1)
+    import hashlib
+
+    w, mean, m, t = np.zeros(25), np.zeros(25), np.zeros(N), 1
+    for e in range(3):
+        for i in sorted(range(N), key=lambda i: (hashlib.md5(f"0|{e}|{i}".encode()).hexdigest(), i)):
+            g = float(LOSSES["logistic"].dloss(z[i] @ w, LABELS[i]))
+            eta = linear.learning_rate("optimal", t, 0.1, 0.01, 1.0)
+            step = (g - m[i]) * z[i]
+            w = w - eta * (step + mean + np.append(0.01 * w[:-1], 0.1 * w[-1]))
+            mean, m[i], t = mean + step / N, g, t + 1
+    model = linear.SAGAClassifier(transformer=MAP(), loss="logistic", mode="sequential", alpha=0.01, eta0=0.1, max_iter=3, tol=0.0).fit(frame(spark, XS, LABELS))
+    assert np.allclose(np.append(model.coef_, model.intercept_), w)
+
+
+@pytest.mark.parametrize("intercept", [True, False])
+def test_grid_model_is_the_minimum(spark, intercept):
+    x = (XS + 1) / 2
+    y = np.sin(4 * x[:, 0]) + x[:, 1] ** 2
+    model = linear.SparseMBRegressor(n_components=40, alpha=0.3, fit_intercept=intercept, max_iter=5).fit(frame(spark, x, y))
+    z = np.concatenate([maps.SparseMB(40).fit(5).apply(x), np.ones((N, 1))], axis=1)
+    h = (2 + model.p.eps) * np.eye(40) - np.eye(40, k=1) - np.eye(40, k=-1)
+    h[0, 0] = h[-1, -1] = 1 + model.p.eps
+    a = z.T @ z
+    a[:40, :40] += 0.3 * h
+    n = 41 if intercept else 40
+    want = np.append(np.linalg.solve(a[:n, :n], (z.T @ y)[:n]), [] if intercept else [0.0])
+    assert np.allclose(np.append(model.coef_, model.intercept_), want, atol=1e-5)
+
+
+def test_sparse_rows_give_what_dense_rows_give(spark):
+    x = np.where(RNG.random((40, 12)) < 0.6, 0.0, RNG.integers(-3, 4, (40, 12)).astype(float))
+    x[3] = 0.0
+    df = frame(spark, x)
+    sparse = feats.to_sparse(df, "id")
+    for m in (maps.RandomProjection(8), maps.RandomFourier(8, 0.5, True), maps.CountSketch(6), maps.TensorSketch(8, 2), maps.RandomKernel(8, distribution="sparse_rademacher", p_sparse=0.7), maps.RandomKernel(8, "anova_cython", 3), maps.SubfeatureRandomKernel(8, 5), maps.RandomMaclaurin(8, degree=3, bias=0.5, h01=True), maps.SubfeatureRandomMaclaurin(8, 4, degree=2), maps.FastFood(16)):
+        m.fit(12)
+        want = m.apply(x)
+        dense = {r.id: r.z for r in m.transform(sparse).select("id", "z").collect()}
+        out = {r.id: r.z for r in m.transform(sparse, dense_output=False).select("id", "z").collect()}
+        for i in range(40):
+            cells = np.zeros(m.width)
+            cells[out[i]["indices"]] = out[i]["values"]
+            assert np.allclose(dense[i], want[i]) and np.allclose(cells, want[i]) and out[i]["size"] == m.width and 0.0 not in out[i]["values"]
+    one, two = (linear.SGDClassifier(transformer=maps.RandomFourier(8, 0.5, True), mode="full_batch", max_iter=3, average=0).fit(d.withColumn("label", (F.col("id") % 2).cast("double"))) for d in (df, sparse))
+    assert np.allclose(one.coef_, two.coef_)
+
+
+def test_a_million_features_stay_sparse():
+    rng = np.random.default_rng(5)
+    d, n = 1_000_000, 200
+    indices = np.sort(rng.integers(0, d, (n, 30)), axis=1)
+    x = Csr(np.arange(n + 1) * 30, indices.ravel(), rng.standard_normal(n * 30), d)
+    w = Postings(np.repeat(np.arange(50), 40), np.concatenate([rng.choice(indices.ravel(), 50 * 20), rng.integers(0, d, 50 * 20)]), rng.standard_normal(2000), 50)
+    rows, bases, values = w.anova(x, 2)
+    assert len(rows) and (values != 0).all()
+    for r, b, v in list(zip(rows, bases, values))[:20]:
+        mine = dict(zip(x.indices[x.indptr[r] : x.indptr[r + 1]].tolist(), x.data[x.indptr[r] : x.indptr[r + 1]]))
+        terms = [mine[j] * q for j, q in zip(w.features[w.bases == b].tolist(), w.values[w.bases == b]) if j in mine]
+        assert np.isclose(v, (sum(terms) ** 2 - sum(t * t for t in terms)) / 2)
+
+
+def test_sparse_rows_are_checked(spark):
+    for cells in ((3, [0, 5], [1.0, 1.0]), (3, [0], [float("nan")]), (3, [0, 1], [1.0]), (3, [0], [None])):
+        with pytest.raises(Exception, match="sparse|finite"):
+            maps.CountSketch(4).fit(3).transform(spark.createDataFrame([(1, cells)], f"id long, features {feats.SPARSE}")).collect()
+
+
+def test_divergences_against_closed_forms():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        v = rng.random(16) ** 3
+        v /= v.max()
+        for kind, want in ((lkrf.ReverseKL(), None), (lkrf.TV(), np.where(v == 1, 1 - (v >= 0.7).sum() / 16 + 1 / 16, np.where(v < 0.7, 0.0, 1 / 16)))):
+            kind.options = {**lkrf.Divergence.options, "eps_abs": 1e-10, "eps_rel": 1e-10}
+            p = kind.solve(v, 0.3)
+            if want is None:  # p = (a / n) / (m - v), and the sum is one
+                lo, hi = 1.0, 2.0
+                for _ in range(60):
+                    lo, hi = ((lo + hi) / 2, hi) if (0.3 / 16 / ((lo + hi) / 2 - v)).sum() > 1 else (lo, (lo + hi) / 2)
+                want = 0.3 / 16 / (hi - v)
+            assert np.allclose(p, want, atol=1e-6)
