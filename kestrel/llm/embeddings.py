@@ -33,8 +33,8 @@ ITERATIONS = 3
 AUDIT = 400
 #: What two vectors in half precision can change a cosine by.
 HALF = 0.001
-#: Rows of a chunk of a component, in between 4 times the root of its size; parts in which a large component is dealt.
-LEAST_CHUNK, MOST_CHUNK, SALTS = 128, 2048, 64
+#: Rows of a chunk of a component, in between twice the root of its size; parts in which a large component is dealt.
+LEAST_CHUNK, MOST_CHUNK, SALTS = 64, 2048, 64
 
 
 def unit_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -234,7 +234,7 @@ def _class_counts(members: DataFrame, threshold: float) -> DataFrame:
     copies of it, so no component is one key.
     """
     sizes = members.groupBy("component").agg(F.count("*").alias("rows")).where(F.col("rows") > LEAST_CHUNK)
-    size = F.greatest(F.lit(LEAST_CHUNK), F.least(F.lit(MOST_CHUNK), 4 * F.sqrt("rows")))
+    size = F.greatest(F.lit(LEAST_CHUNK), F.least(F.lit(MOST_CHUNK), 2 * F.sqrt("rows")))
     large = sizes.select("component", F.ceil(F.col("rows") / size).cast("int").alias("chunks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = members.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int"))
     known = salted.join(large, ["component", "salt"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
