@@ -26,24 +26,33 @@ def _hadamard(n: int) -> np.ndarray:
     return h
 
 
+#: Sides of the small Hadamard matrices, and cells of a block of rows that stays in a core's cache.
+RADIX, BLOCK_CELLS = 16, 1 << 16
+
+
 def fwht(x: np.ndarray, normalize: bool = True) -> np.ndarray:
     """Walsh-Hadamard transform of every row in natural order, zero-padded to a power of two.
 
-    The matrix is a Kronecker product of small ones, up to 32 x 32, which are
-    applied to the whole batch as matrix products; a row costs about 32 n log32 n.
+    The matrix is a Kronecker product of small ones, which are applied as matrix
+    products to blocks of rows; a row costs about RADIX n log n / log RADIX.
     """
     x = np.asarray(x, float)
     one = x.ndim == 1
     x = x[None] if one else x
     n = next_power_of_two(x.shape[1])
-    y, right = pad(x, n), 1
-    while right < n:
-        size = min(32, n // right)
-        h = _hadamard(size)
-        y = (y.reshape(-1, size) @ h if right == 1 else np.matmul(h, y.reshape(-1, size, right))).reshape(len(x), n)
-        right *= size
-    y = y / np.sqrt(n) if normalize else y
-    return y[0] if one else y
+    x, sides = pad(x, n), []
+    while np.prod(sides, dtype=int) < n:
+        sides.append(min(RADIX, n // int(np.prod(sides, dtype=int))))
+    small = [_hadamard(s) for s in sides] or [np.ones((1, 1))]
+    small[0] = small[0] / np.sqrt(n) if normalize else small[0]
+    out, step = np.empty_like(x), max(1, BLOCK_CELLS // n)
+    for lo in range(0, len(x), step):
+        y, right = x[lo : lo + step], 1
+        for h in small:
+            y = y.reshape(-1, len(h)) @ h if right == 1 else np.matmul(h, y.reshape(-1, len(h), right))
+            right *= len(h)
+        out[lo : lo + step] = y.reshape(-1, n)
+    return out[0] if one else out
 
 
 def circulant(x: np.ndarray, w: np.ndarray) -> np.ndarray:
