@@ -410,6 +410,13 @@ _map(
 )
 _UP = f"(SELECT id, list(z ORDER BY i) AS x FROM {_maclaurin([0, 0, 1.0], 2, rows=20)} GROUP BY id)"
 _map("map_compact", lambda: maps.CompactRandomFeature(n_components=8, n_components_up=20, seed=SEED), emb, D, f"(SELECT id, i, p / sqrt(8e0) AS z FROM {_project(_UP, _cells('w', '8', 20, seed=SEED + 1))})")
+_UP_ROWS = f"(SELECT n, j FROM (SELECT j, row_number() OVER (ORDER BY {rng.sql_uniform(SEED + 1, 'perm', '0', 'j')}) - 1 AS n FROM range(0, 32) b(j)) WHERE n < 8)"
+_map(
+    "map_compact_srht", lambda: maps.CompactRandomFeature(down="srht", n_components=8, n_components_up=20, seed=SEED), emb, D,
+    f"(SELECT id, n AS i, list_sum(list_transform(range(0, 20), lambda c: x[c + 1] * w[c + 1] * (1 - 2 * (bit_count(CAST(j & c AS BIGINT)) % 2)))) / sqrt(8e0) AS z FROM {_UP} s, (SELECT {_one('w', 20, seed=SEED + 1)} AS w) m, {_UP_ROWS} r)",
+)
+_TS3 = f"(SELECT a.id, (h1.h + h2.h + h3.h) % 16 AS i, sum(h1.s * h2.s * h3.s * a.v * b.v * c.v) AS z FROM {_XJ(UNIT)} a JOIN {_XJ(UNIT)} b ON a.id = b.id JOIN {_XJ(UNIT)} c ON a.id = c.id JOIN {_HASH(0, 4, 16)} h1 ON a.j = h1.j JOIN {_HASH(1, 4, 16)} h2 ON b.j = h2.j JOIN {_HASH(2, 4, 16)} h3 ON c.j = h3.j GROUP BY a.id, (h1.h + h2.h + h3.h) % 16)"
+_map("map_tensor_sketch3", lambda: maps.TensorSketch(16, 3, SEED), unit, 4, _FILL(_TS3, UNIT, 16))
 _MB = f"(SELECT id, j * 8 + k AS i, greatest(least(8e0 * v - k, 1e0), 0e0) / sqrt(8e0) AS z FROM {_XJ(UNIT)} a, range(0, 8) g(k))"
 _map("map_mb", lambda: maps.MB(32), unit, 4, _MB)
 
@@ -430,6 +437,9 @@ def _smb_native(spark, sf):
 _add("map_sparse_mb_native", _smb_native, _out(f"(SELECT * FROM {_SMB} WHERE z <> 0)"))
 _CHI = lambda f, k: f"(SELECT id, j + 4 * {k} AS i, CASE WHEN v > 0 THEN sqrt(2 * v * 0.5e0 / cosh(pi() * 0.5e0)) * {f}(0.5e0 * ln(v)) ELSE 0e0 END AS z FROM {_XJ(UNIT)})"
 _map("map_additive_chi2", lambda: maps.AdditiveChi2Sampler(2), unit, 4, f"(SELECT id, j AS i, sqrt(v * 0.5e0) AS z FROM {_XJ(UNIT)} UNION ALL SELECT * FROM {_CHI('cos', 1)} UNION ALL SELECT * FROM {_CHI('sin', 2)})")
+_STEP = lambda f, k, n: f"(SELECT id, j + 4 * {k} AS i, CASE WHEN v > 0 THEN sqrt(2 * v * 0.4e0 / cosh(pi() * {n} * 0.4e0)) * {f}({n} * 0.4e0 * ln(v)) ELSE 0e0 END AS z FROM {_XJ(UNIT)})"
+_map("map_additive_chi2_3", lambda: maps.AdditiveChi2Sampler(3), unit, 4, f"(SELECT id, j AS i, sqrt(v * 0.4e0) AS z FROM {_XJ(UNIT)} UNION ALL SELECT * FROM {_STEP('cos', 1, 1)} UNION ALL SELECT * FROM {_STEP('sin', 2, 1)} UNION ALL SELECT * FROM {_STEP('cos', 3, 2)} UNION ALL SELECT * FROM {_STEP('sin', 4, 2)})")
+_map("map_additive_chi2_1", lambda: maps.AdditiveChi2Sampler(1), unit, 4, f"(SELECT id, j AS i, sqrt(v * 0.8e0) AS z FROM {_XJ(UNIT)})")
 _SKW = f"(SELECT i, list(w ORDER BY j) AS w FROM (SELECT i, j, ln(tan(pi() / 2e0 * {rng.sql_uniform(SEED, 'w', 'i', 'j')})) / pi() AS w FROM range(0, 16) a(i), range(0, 4) b(j)) GROUP BY i)"
 _map("map_skewed_chi2", lambda: maps.SkewedChi2Sampler(16, 0.5, SEED), unit, 4, f"(SELECT id, i, sqrt(2e0 / 16) * cos(list_dot_product(list_transform(x, lambda v: ln(v + 0.5e0)), w) + 2e0 * pi() * {rng.sql_uniform(SEED, 'offset', '0', 'i')}) AS z FROM {UNIT} s, {_SKW} m)")
 

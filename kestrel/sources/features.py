@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.functions.sparse import Csr
@@ -25,6 +25,26 @@ def from_array(df: DataFrame, id_col: str, col: str, out: str = "features") -> D
     return df.select(F.col(id_col), F.col(col).cast("array<double>").alias(out))
 
 
+def read_libsvm(spark: SparkSession, path: str, width: int, id_col: str = "id") -> DataFrame:
+    """(id, label, features) from text lines ``label index:value ...`` with indices from 1, as sparse structs.
+
+    Ids number the lines apart, without meaning beyond that; blank lines and what
+    follows a # are left out; a line that does not parse, or an index beyond the
+    width, fails the query.
+    """
+    line = F.btrim(F.regexp_replace("value", "#.*", ""))
+    parts = F.split(F.col("line"), r"\s+")
+    pairs = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.split(p, ":"))
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias(id_col), line.alias("line")).where("line <> ''")
+    rows = rows.select(id_col, F.element_at(parts, 1).cast("double").alias("label"), pairs.alias("pairs"))
+    indices = F.transform("pairs", lambda p: F.element_at(p, 1).cast("int") - 1)
+    values = F.transform("pairs", lambda p: F.element_at(p, 2).cast("double"))
+    bad = F.exists("pairs", lambda p: ~F.element_at(p, 1).cast("int").between(1, width))
+    cells = F.when(~bad, F.struct(F.lit(width).alias("size"), indices.alias("indices"), values.alias("values")).cast(SPARSE))
+    message = F.lit(f"indices must be from 1 to {width}")
+    return rows.select(id_col, "label", F.coalesce(cells, F.raise_error(message).cast(SPARSE)).alias("features"))
+
+
 def valid(features: Column, width: int | None = None) -> Column:
     """Whether a features array is finite, without nulls and of the width."""
     bad = F.exists(features, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))

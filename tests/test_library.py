@@ -566,3 +566,23 @@ def test_divergences_against_closed_forms():
                     lo, hi = ((lo + hi) / 2, hi) if (0.3 / 16 / ((lo + hi) / 2 - v)).sum() > 1 else (lo, (lo + hi) / 2)
                 want = 0.3 / 16 / (hi - v)
             assert np.allclose(p, want, atol=1e-6)
+
+
+def test_libsvm_lines(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("+1 1:0.5 3:2  # first\n\n-1\n-1 2:1e-3 4:-4\n")
+    got = feats.read_libsvm(spark, str(tmp_path), 4).orderBy("id").collect()
+    assert [(r.label, r.features["size"], r.features["indices"], r.features["values"]) for r in got] == [(1.0, 4, [0, 2], [0.5, 2.0]), (-1.0, 4, [], []), (-1.0, 4, [1, 3], [0.001, -4.0])]
+    with pytest.raises(Exception, match="indices must be"):
+        feats.read_libsvm(spark, str(tmp_path), 3).collect()
+    fitted = linear.SGDClassifier(transformer=maps.RandomFourier(8, 0.5, True), mode="full_batch", max_iter=2).fit(feats.read_libsvm(spark, str(tmp_path), 4))
+    assert len(fitted.coef_) == 8
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from kestrel.sources.tables import shared_path
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_path(bare, "x")
