@@ -37,6 +37,7 @@ def raw_documents():
         pool = [w for i, w, c in words if c == words[k][2]]
         w = list(rng.choice(pool, 60))
         rows.append((500 + k, " ".join([*w[:30], items[k], *w[30:]]), words[k][2], "leak", 0))
+    rows += [rows[119]] * 2  # repeated rows
     rows += [(300, "zzq xxv wwj kkz qqx " * 20, None, "junk", 0), (301, None, "aa", "null", 0), (302, "", "bb", "empty", 0), (303, "123 456 !?", "bb", "signs", 0)]
     return rows, items
 
@@ -105,8 +106,9 @@ def test_packing_covers_every_token(staged):
 
     own = Tokenizer.from_file(tokens.tokenizer_path("byte_bpe_50k.json"))
     ids = defaultdict(list)
-    for d, t in texts(staged[1][4]).items():
-        ids[d].append([*own.encode(t, add_special_tokens=False).ids, 0])
+    for r in staged[1][4].collect():
+        ids[r.doc_id].append([*own.encode(r.text, add_special_tokens=False).ids, 0])
+    assert len(ids[119]) == 3
     assert check_pieces(staged[1][5].collect(), ids, corpus_pipeline.WINDOW) == 0
 
 
