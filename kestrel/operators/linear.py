@@ -775,7 +775,7 @@ class _SparseMB(_Linear):
 
     def _newton(self, rows, w, g, penalty, precondition) -> np.ndarray:
         """The step to the minimum of the quadratic at w, by conjugate gradients."""
-        exact, most = (1e-10, 2 * len(g) + 20) if self.p.loss == "squared" else (0.1, 25)  # only a quadratic is worth an exact step
+        exact, most = (1e-10, 2 * len(g) + 20) if self.p.loss == "squared" else (0.1, 12)  # only a quadratic is worth an exact step
         x, r = np.zeros(len(g)), -g
         z = precondition(r)
         p, rz, first = z, float(r @ z), float(r @ z)
