@@ -6,18 +6,20 @@ import sys
 import tempfile
 import types
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Arrow batches of few rows keep very long texts from meeting in one batch.
-BATCH_ROWS = 500
+#: Arrow batches of few rows and bytes keep very long texts from meeting in one batch.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 #: Rows up to which a table of one number a row is broadcast, about 16 MB.
 SMALL = 1 << 18
 
 
 def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -39,10 +41,32 @@ def materialise(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, label)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths that open scopes have written, the innermost last.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession, *keep: str):
+    """Delete what is materialised inside, once it ends, but tables of the labels that a lazy result still reads."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        made = _scopes.pop()
+        kept = [p for p in made if p.rpartition("/")[2].rpartition("-")[0] in keep]
+        if _scopes:
+            _scopes[-1].extend(kept)
+        for path in set(made) - set(kept):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small(df: DataFrame) -> DataFrame:
     """A written table of one number a row: to be broadcast if its counted rows are at most SMALL, else dealt by key."""
     return F.broadcast(df) if df.count() <= SMALL else df.hint("shuffle_hash")

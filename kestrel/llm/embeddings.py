@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import materialise, table, tune
+from kestrel.llm.common import materialise, scratch, table, tune
 from kestrel.llm.graph import connected_components
 
 LOG = logging.getLogger(__name__)
@@ -272,6 +272,18 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     """
     spark = df.sparkSession
     tune(spark)
+    with scratch(spark, "units", "class-links"):
+        rows, known = _class_links(df, id_col, vector_col, threshold)
+    firsts = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    known = known.join(firsts, "component").select("key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = rows.select("vec_id", "key").join(known, "key", "left")
+    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+
+
+def _class_links(df: DataFrame, id_col: str, vector_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, unit, key) of every row, and (node, key, first_id, copies, component, links) of every class."""
+    spark = df.sparkSession
     rows = materialise(unit_vectors(df, id_col, vector_col).withColumn("key", F.when(F.col("unit").isNotNull(), F.unhex(F.md5("unit")))), "units")
     classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -317,12 +329,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         for p in parts[1:]:
             merged = merged.unionByName(p)
         known = known.join(merged.select("node", name), "node", "left")
-    known = materialise(known.withColumn("component", F.coalesce("component", "node")), "class-links")
-    firsts = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    known = known.join(firsts, "component").select("key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.select("vec_id", "key").join(known, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    return rows, materialise(known.withColumn("component", F.coalesce("component", "node")), "class-links")
 
 
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from kestrel.llm.common import materialise, table, tune, worker_cache
+from kestrel.llm.common import materialise, scratch, table, tune, worker_cache
 
 #: Slots of the filter table for each n-gram it holds, and the table's bounds: 2^22 slots are 32 MB a mask word.
 SLOTS_A_GRAM, LEAST_BITS, MOST_BITS = 12, 12, 22
@@ -149,9 +149,14 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Lang
     driver is the table, at most 2^MOST_BITS rows, and a row a language.  Null
     languages and null or letterless texts teach nothing.
     """
+    tune(df.sparkSession)
+    with scratch(df.sparkSession):
+        return _train(df, lang_col, text_col)
+
+
+def _train(df: DataFrame, lang_col: str, text_col: str) -> LanguageModel:
     import numpy as np
 
-    tune(df.sparkSession)
     rows = df.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     counts = materialise(rows.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "language-grams")
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}

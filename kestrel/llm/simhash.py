@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import materialise, small, table, tune
+from kestrel.llm.common import materialise, scratch, small, table, tune
 from kestrel.llm.graph import connected_components
 
 #: From this many distinct fingerprints on, two segments of 32 bits select better than three of 21.
@@ -107,11 +107,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows with a null id take part in links and get the component of their
     fingerprint, null where it has no other id.
     """
-    prints = materialise(fingerprints(df, id_col, text_col, width), "fingerprints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct-fingerprints")
-    labels = connected_components(near_pairs(distinct.select("fp"), radius))
-    joined = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    joined = materialise(joined, "fingerprint-components")
+    with scratch(df.sparkSession, "fingerprints", "fingerprint-components"):
+        prints = materialise(fingerprints(df, id_col, text_col, width), "fingerprints")
+        distinct = materialise(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct-fingerprints")
+        labels = connected_components(near_pairs(distinct.select("fp"), radius))
+        joined = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+        joined = materialise(joined, "fingerprint-components")
     roots = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_print = joined.join(roots, "component").select("fp", "component", "component_id")
     return prints.join(of_print, "fp").select("id", "fp", "version", "component", "component_id")
@@ -287,6 +288,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     input.  Rows that share an id and stay in one group are one document; rows are
     judged by their own text.  A null id stays only where its group has no id.
     """
+    with scratch(df.sparkSession, "representative-rows", "near-copies"):
+        kept, lost = _near_copies(df, id_col, text_col)
+    return kept.join(small(lost), "__k_node", "left_anti").select(*(f"`{c}`" for c in df.columns))
+
+
+def _near_copies(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of one document a component with its node and a number, and the nodes that are near copies of others."""
     found = near_duplicates(df, id_col, text_col)
     stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("component_id").alias("id"), F.min("version").alias("version"))
     stay = materialise(stay.select(F.col("component").alias("__k_node"), F.col("id").alias("__k_id"), F.col("version").alias("__k_version")), "representatives")
@@ -298,5 +306,4 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     groups = groups.join(stay.select(F.col("__k_node").alias("node"), F.col("__k_id").alias("id")), "node")
     roots = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("root"))
     lost = groups.join(roots, "component").where(F.col("node") != F.col("root.node")).select(F.col("node").alias("__k_node"))
-    lost = materialise(lost, "near-copies")
-    return kept.join(small(lost), "__k_node", "left_anti").select(*(f"`{c}`" for c in df.columns))
+    return kept, materialise(lost, "near-copies")
