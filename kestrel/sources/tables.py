@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -37,7 +38,7 @@ def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder that spark.checkpoint.dir names; where it is unset, in one of our own, on a single machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="kestrel-")
         spark.conf.set("spark.checkpoint.dir", root)
