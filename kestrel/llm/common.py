@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
@@ -26,7 +27,7 @@ def shared_root(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where it is unset one of our own, on a single machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="kestrel-")
         spark.conf.set("spark.checkpoint.dir", root)
