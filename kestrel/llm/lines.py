@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import lower_ascii, materialise, table
+from kestrel.llm.common import lower_ascii, materialise, scratch, table
 
 SALTS = 64
 _BLANK = " \t\n\x0b\f\r"
@@ -56,9 +56,8 @@ def drop_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     any other.
     """
     lines = materialise(line_rows(df, id_col, text_col, min_chars), "lines")
-    keys = repeated_keys(lines, min_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
-    gone = salted.join(keys, ["h1", "h2", "salt"]).where("doc < keeper")
+    keys = materialise(repeated_keys(lines, min_docs), "repeated-keys")
+    gone = lines.join(keys, ["h1", "h2"]).where("doc < keeper")  # adaptive execution splits a key of many lines
     words = gone.groupBy("doc", "version", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
     return words.groupBy("doc", "version").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"), F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"))
 
@@ -81,7 +80,8 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty table gives no rows.
     """
     docs = table(spark, sf_dir, "documents")
-    bitmaps = materialise(drop_bitmaps(docs), "line-bitmaps")
+    with scratch(spark, "line-bitmaps"):
+        bitmaps = materialise(drop_bitmaps(docs), "line-bitmaps")
     rows = _keyed(docs, "doc_id", "text").withColumn("id", F.when(F.col("doc") != _NO_ID, F.col("doc")))
     rows = rows.join(bitmaps.hint("shuffle_hash"), ["doc", "version"], "left")
     return rows.select(
@@ -94,7 +94,8 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """df with the dropped lines taken out of its texts, other columns as they are."""
-    bitmaps = materialise(drop_bitmaps(df, id_col, text_col, min_chars, min_docs), "line-bitmaps")
+    with scratch(df.sparkSession, "line-bitmaps"):
+        bitmaps = materialise(drop_bitmaps(df, id_col, text_col, min_chars, min_docs), "line-bitmaps")
     bitmaps = bitmaps.select(F.col("doc").alias("__k_doc"), F.col("version").alias("__k_version"), "dropped")
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
     version = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
