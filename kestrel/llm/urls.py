@@ -120,7 +120,7 @@ o AS (SELECT rule_key, since, max(action) AS action FROM e WHERE action IS NOT N
 v AS (SELECT rule_key, action, since AS valid_from, lead(since) OVER (PARTITION BY rule_key ORDER BY since) AS valid_to FROM o),
 c AS (SELECT page_id, url, host, fetched_at, unnest(list_distinct(list_concat(
     list_transform(range(1, len(parts) + 1), lambda i: array_to_string(parts[i:], '.')),
-    list_transform(range(1, least(len(folders), 4) + 1), lambda i: host || '/' || array_to_string(folders[1:i], '/'))))) AS key FROM q WHERE host IS NOT NULL),
+    list_transform(range(1, len(folders) + 1), lambda i: host || '/' || array_to_string(folders[1:i], '/'))))) AS key FROM q WHERE host IS NOT NULL),
 h AS (SELECT c.page_id, max({'n': length(v.rule_key), 'rule': v.rule_key, 'action': v.action}) AS b FROM c JOIN v
   ON c.key = v.rule_key AND v.action IN ('block', 'allow') AND c.fetched_at >= v.valid_from AND (v.valid_to IS NULL OR c.fetched_at < v.valid_to) GROUP BY c.page_id)
 SELECT q.page_id, host, fetched_at, b.rule AS matched_rule, b.action AS action, coalesce(b.action, 'allow') <> 'block' AS kept FROM q LEFT JOIN h ON q.page_id = h.page_id
