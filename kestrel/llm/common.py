@@ -82,8 +82,11 @@ def worker_cache(key, make):
     return cache[key]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, dealt: bool = False) -> DataFrame:
+    """A table; ``dealt`` over all cores where a small file gives fewer splits than there are cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if dealt and rows.rdd.getNumPartitions() < cores else rows
 
 
 def lower_ascii(col):

@@ -125,7 +125,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows come back as often as they are there; an empty table gives no rows.
     """
     tune(spark)
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(table(spark, sf_dir, "documents", dealt=True))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
