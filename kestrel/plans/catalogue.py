@@ -415,8 +415,16 @@ _map(
     "map_compact_srht", lambda: maps.CompactRandomFeature(down="srht", n_components=8, n_components_up=20, seed=SEED), emb, D,
     f"(SELECT id, n AS i, list_sum(list_transform(range(0, 20), lambda c: x[c + 1] * w[c + 1] * (1 - 2 * (bit_count(CAST(j & c AS BIGINT)) % 2)))) / sqrt(8e0) AS z FROM {_UP} s, (SELECT {_one('w', 20, seed=SEED + 1)} AS w) m, {_UP_ROWS} r)",
 )
-_TS3 = f"(SELECT a.id, (h1.h + h2.h + h3.h) % 16 AS i, sum(h1.s * h2.s * h3.s * a.v * b.v * c.v) AS z FROM {_XJ(UNIT)} a JOIN {_XJ(UNIT)} b ON a.id = b.id JOIN {_XJ(UNIT)} c ON a.id = c.id JOIN {_HASH(0, 4, 16)} h1 ON a.j = h1.j JOIN {_HASH(1, 4, 16)} h2 ON b.j = h2.j JOIN {_HASH(2, 4, 16)} h3 ON c.j = h3.j GROUP BY a.id, (h1.h + h2.h + h3.h) % 16)"
-_map("map_tensor_sketch3", lambda: maps.TensorSketch(16, 3, SEED), unit, 4, _FILL(_TS3, UNIT, 16))
+_UNIT_EXP = f"(SELECT id, list_transform(x, lambda v: exp(-v)) AS x FROM {UNIT})"
+_TS3 = f"(SELECT a.id, (h1.h + h2.h + h3.h) % 16 AS i, sum(h1.s * h2.s * h3.s * a.v * b.v * c.v) AS z FROM {_XJ(_UNIT_EXP)} a JOIN {_XJ(_UNIT_EXP)} b ON a.id = b.id JOIN {_XJ(_UNIT_EXP)} c ON a.id = c.id JOIN {_HASH(0, 4, 16)} h1 ON a.j = h1.j JOIN {_HASH(1, 4, 16)} h2 ON b.j = h2.j JOIN {_HASH(2, 4, 16)} h3 ON c.j = h3.j GROUP BY a.id, (h1.h + h2.h + h3.h) % 16)"
+
+
+def unit_exp(spark, sf) -> DataFrame:
+    """exp(-v) of the parts' numbers: products of plain fractions can be ties of rounding."""
+    return unit(spark, sf).select("id", F.transform("features", lambda v: F.exp(-v)).alias("features"))
+
+
+_map("map_tensor_sketch3", lambda: maps.TensorSketch(16, 3, SEED), unit_exp, 4, _FILL(_TS3, UNIT, 16))
 _MB = f"(SELECT id, j * 8 + k AS i, greatest(least(8e0 * v - k, 1e0), 0e0) / sqrt(8e0) AS z FROM {_XJ(UNIT)} a, range(0, 8) g(k))"
 _map("map_mb", lambda: maps.MB(32), unit, 4, _MB)
 
