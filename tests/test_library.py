@@ -12,6 +12,7 @@ from kestrel.functions.sparse import Csr, Postings
 from kestrel.operators import gram, linear, lkrf, maps
 from kestrel.operators.doubly import doubly
 from kestrel.operators.losses import LOSSES
+from kestrel.plans import catalogue
 from kestrel.sources import features as feats
 
 RNG = np.random.default_rng(0)
@@ -586,3 +587,27 @@ def test_a_cluster_needs_a_shared_folder():
     bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_path(bare, "x")
+
+
+@pytest.mark.parametrize("degree,most", [(1, 4096), (2, 4096), (3, 4096), (2, 5)])
+def test_sparse_totals_are_summed_in_the_task(spark, degree, most, monkeypatch):
+    """A row a query, summed before it leaves the task; the pairs are those of the Gram operator."""
+    monkeypatch.setattr(gram, "SUMMED_FEATURES", most)
+    monkeypatch.setattr(gram, "SUMMED_BLOCK", 16)
+    rng_ = np.random.default_rng(4)
+    x = np.where(rng_.random((70, 12)) < 0.2, rng_.integers(-3, 4, (70, 12)), 0).astype(float)
+    df = feats.to_sparse(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>"), "id")
+    q = df.where("id % 7 = 0")
+    want = gram.sparse_anova_gram(df, q, "id", degree).groupBy("i").agg(F.count("*").alias("n_rows"), F.sum("k").alias("total"))
+    got = gram.sparse_anova_totals(df, q, "id", degree)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("query", ["kernel_sparse_linear"])
+def test_sparse_queries_split_words_once(spark, query, monkeypatch):
+    """No row a pair is made, and the texts are read once."""
+    made = []
+    totals = gram.sparse_anova_totals
+    monkeypatch.setattr(gram, "sparse_anova_totals", lambda rows, *a: made.append(rows) or totals(rows, *a))
+    catalogue.QUERIES[query](spark, "/root/testdata/sf0.001")
+    assert made and "documents.parquet" not in made[0]._jdf.queryExecution().executedPlan().toString()
