@@ -603,7 +603,7 @@ def test_sparse_totals_are_summed_in_the_task(spark, degree, most, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("query", ["kernel_sparse_linear"])
+@pytest.mark.parametrize("query", ["kernel_sparse_linear", "kernel_anova_sparse"])
 def test_sparse_queries_split_words_once(spark, query, monkeypatch):
     """No row a pair is made, and the texts are read once."""
     made = []
