@@ -589,6 +589,49 @@ def test_a_cluster_needs_a_shared_folder():
         shared_path(bare, "x")
 
 
+@pytest.mark.parametrize("kernel,params", [("linear", {}), ("poly", {"degree": 3, "bias": 0.5}), ("exp", {"gamma": 0.7}), ("rbf", {"gamma": 0.5}), ("all_subsets", {}), ("intersection", {}), ("chi-square", {}), ("hellinger", {})])
+def test_narrow_gram_is_compiled(spark, kernel, params):
+    """Rows of few features meet in compiled code on all cores, with the numbers of the matrix form."""
+    rng_ = np.random.default_rng(3)
+    x = np.abs(rng_.standard_normal((60, 4))) * (rng_.random((60, 4)) > 0.3)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>").coalesce(1)
+    found = gram.gram(df, df.where("id % 20 = 0"), "id", kernel, **params)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "aggregate(" not in plan and "zip_with" not in plan
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    got = {(r.i, r.j): r.k for r in found.collect()}
+    want = kernels.matrix(kernel, x[::20], x, **params)
+    assert len(got) == want.size
+    assert all(np.isclose(got[20 * i, j], want[i, j], rtol=1e-12, atol=1e-12) for i in range(3) for j in range(60))
+
+
+def test_narrow_gram_refuses_what_is_no_number(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, float("nan")])], "id long, features array<double>")
+    with pytest.raises(Exception, match="finite"):
+        gram.gram(df, df.where("id = 0"), "id", "linear").collect()
+    df, empty = df.where("id = 0"), df.where("id > 5")
+    assert gram.gram(df, empty, "id", "linear").count() == 0
+    assert gram.gram(empty, df.where("id = 0"), "id", "linear").count() == 0
+
+
+def test_pairs_are_rounded_as_by_spark(spark):
+    """The quick rounding of rows a pair gives the very numbers of round()."""
+    x = np.concatenate([np.random.default_rng(5).standard_normal(2000) * 10.0 ** np.arange(-8, 12).repeat(100), (np.arange(-500, 500) + 0.5) / 1e6, np.arange(-50, 50) * 1e-6, [0.0, -0.0, 1e13, -1e300, 1e-320, np.inf, -np.inf, np.nan]])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double").select(catalogue._r(F.col("v")).alias("a"), catalogue._r_pair(F.col("v")).alias("b"))
+    assert df.where("NOT (a <=> b)").count() == 0
+
+
+@pytest.mark.parametrize("query", ["kernel_chi2"])
+def test_many_pairs_leave_the_column_form(spark, query, monkeypatch):
+    """Higher-order functions over arrays are not compiled; beyond COLUMN_PAIRS pairs the query does without, with equal results."""
+    sf = "/root/testdata/sf0.001"
+    rows = lambda: sorted(map(tuple, catalogue.QUERIES[query](spark, sf).collect()))
+    want = rows()
+    monkeypatch.setattr(gram, "COLUMN_PAIRS", 10)
+    assert "zip_with" not in catalogue.QUERIES[query](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert rows() == want
+
+
 @pytest.mark.parametrize("degree,most", [(1, 4096), (2, 4096), (3, 4096), (2, 5)])
 def test_sparse_totals_are_summed_in_the_task(spark, degree, most, monkeypatch):
     """A row a query, summed before it leaves the task; the pairs are those of the Gram operator."""
