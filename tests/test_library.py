@@ -621,7 +621,7 @@ def test_pairs_are_rounded_as_by_spark(spark):
     assert df.where("NOT (a <=> b)").count() == 0
 
 
-@pytest.mark.parametrize("query", ["kernel_chi2", "kernel_intersection"])
+@pytest.mark.parametrize("query", ["kernel_chi2", "kernel_intersection", "kernel_anova4_native"])
 def test_many_pairs_leave_the_column_form(spark, query, monkeypatch):
     """Higher-order functions over arrays are not compiled; beyond COLUMN_PAIRS pairs the query does without, with equal results."""
     sf = "/root/testdata/sf0.001"
