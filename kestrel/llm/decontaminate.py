@@ -3,9 +3,10 @@
 1. Words are 32-bit hashes; documents are stored once as sequences of them, whatever
    the benchmark.  The words of the benchmark are features of their own, all other
    words of the corpus share BUCKETS hashed features.
-2. Document frequencies are counted over all passages of all documents.
-3. A distributed randomised SVD of TF-IDF passages (the benchmark's and a bounded,
-   documented sample of the corpus') gives the latent space.
+2. All passages of all documents are stored once as counted features; document
+   frequencies are counted over them.
+3. A distributed randomised SVD of the TF-IDF passages of the benchmark and of the
+   whole corpus gives the latent space; no passage is left out of the fit.
 4. Candidates are stretches of an item's length whose cosine to the item is high in
    that space.  Both sides are measured there, so a copy has cosine one whatever the
    rank and the size of corpus or benchmark.  An inverted file over the rarest words
@@ -30,8 +31,10 @@ from kestrel.llm.common import materialise, scratch, table, tune
 PASSAGE, WINDOW = 64, 32
 #: Hashed features of words that the benchmark has not.
 BUCKETS = 1 << 14
-#: Latent dimensions at most, loadings at most, power iterations, corpus passages that the SVD is fitted on (about; by a hash of the id).
-RANK, LOADINGS, POWER, FIT_PASSAGES = 64, 1 << 24, 2, 40_000
+#: Latent dimensions at most, loadings at most, power iterations.
+RANK, LOADINGS, POWER = 64, 1 << 24, 2
+#: Cells of gathered loadings that a task multiplies at once, about what stays in cache; entries of one product.
+CELLS, CHUNK = 1 << 18, 16
 #: Least latent cosine of a candidate.
 COSINE = 0.4
 #: Least share of an item's words in common order, words of the answer and the share of it.
@@ -125,21 +128,49 @@ def _passages(at):
     return first[doc] + (np.arange(at[-1]) - at[doc]) // PASSAGE, int(first[-1])
 
 
-def passage_counts(docs: DataFrame, shared, n: int) -> tuple:
-    """(passages, in how many of them each of the n features is), over all documents; ``shared`` broadcasts the benchmark."""
+def passage_rows(docs: DataFrame, shared, n: int) -> DataFrame:
+    """(lengths, features, tf): all passages of all documents, a lot of them a row; ``shared`` broadcasts the benchmark.
+
+    Of each passage how many distinct features it has, these in order (of n, in two
+    bytes if they suffice), and how often each is there, PASSAGE times at most.
+    """
     import numpy as np
 
+    kind = "<u2" if n <= 1 << 16 else "<u4"
+
     def run(batches):
-        total, counts = 0, np.zeros(n, np.int64)
         for batch in batches:
             ids, at = _joined(batch)
             passage, passages = _passages(at)
-            total += passages
-            counts += np.bincount(np.unique(passage * n + shared.value.features(ids)) % n, minlength=n)
+            keys, tf = np.unique(passage * n + shared.value.features(ids), return_counts=True)
+            cells = [np.bincount(keys // n, minlength=passages).astype("u1"), (keys % n).astype(kind), tf.astype("u1")]
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], ["lengths", "features", "tf"])
+
+    return materialise(docs.select("doc_id", "ids").mapInArrow(run, "lengths binary, features binary, tf binary"), "passages", "zstd")
+
+
+def _rows_of(batch, n: int):
+    """(lengths, features, tf) of each lot of a batch of ``passage_rows``."""
+    import numpy as np
+
+    for lengths, features, tf in zip(*(c.to_pylist() for c in batch.columns)):
+        yield np.frombuffer(lengths, "u1"), np.frombuffer(features, "<u2" if n <= 1 << 16 else "<u4").astype(np.int64), np.frombuffer(tf, "u1")
+
+
+def passage_counts(rows: DataFrame, n: int) -> tuple:
+    """(passages, in how many of them each of the n features is), over all ``passage_rows``."""
+    import numpy as np
+
+    def run(batches):
+        total, counts = 0, np.zeros(n, np.int64)
+        for batch in batches:
+            for lengths, features, _ in _rows_of(batch, n):
+                total += len(lengths)
+                counts += np.bincount(features, minlength=n)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"w": pa.array(np.append(-1, some)), "n": pa.array(np.append(total, counts[some]))})
 
-    found = docs.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()  # a row a feature
+    found = rows.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()  # a row a feature
     counts = np.zeros(n + 1, np.int64)
     counts[found.column("w").to_numpy()] = found.column("n").to_numpy()  # -1, the passages, comes last
     return int(counts[-1]), counts[:-1]
@@ -167,43 +198,80 @@ def _product(p, w, x, v):
     return w[order][at], np.add.reduceat(y[row[order]] * x[order][:, None], at, axis=0)
 
 
-def latent_space(docs: DataFrame, shared, idf, n_passages: int):
-    """Loadings (features x rank) by randomised subspace iteration.
+def _segment_sums(source, row, x, many):
+    """Sums of x times rows of source over segments of ``many`` entries each; small matrix products that stay in cache."""
+    import numpy as np
+
+    while True:
+        chunks = np.maximum(1, -(-many // CHUNK))
+        first = np.cumsum(chunks) - chunks
+        slot = np.repeat(first * CHUNK - (np.cumsum(many) - many), many) + np.arange(len(row))
+        n = int(chunks.sum())
+        at, weight = np.zeros(n * CHUNK, np.intp), np.zeros(n * CHUNK, np.float32)
+        at[slot], weight[slot] = row, x
+        out = np.empty((n, source.shape[1]), np.float32)
+        step = max(1, CELLS // (CHUNK * source.shape[1]))
+        held = np.empty((step * CHUNK, source.shape[1]), np.float32)  # gathering into new memory costs ten times as much
+        for lo in range(0, n, step):
+            hi = min(n, lo + step)
+            cells = held[: (hi - lo) * CHUNK]
+            source.take(at[lo * CHUNK : hi * CHUNK], axis=0, out=cells, mode="clip")
+            np.matmul(weight[lo * CHUNK : hi * CHUNK].reshape(-1, 1, CHUNK), cells.reshape(hi - lo, CHUNK, -1), out=out[lo:hi].reshape(hi - lo, 1, -1))
+        if n == len(many):
+            return out
+        source, row, x, many = out, np.arange(n), np.float32(1), chunks
+
+
+def _grow(total, lengths, w, tf, idf, v) -> None:
+    """Add A^T (A v) to total, A the unit TF-IDF rows of a lot of passages; in single precision within the lot."""
+    import numpy as np
+
+    many = lengths.astype(np.int64)
+    x = (np.log(np.arange(1, PASSAGE + 1)) + 1).astype(np.float32)[tf - 1] * idf[w]
+    x /= np.repeat(np.sqrt(np.maximum(np.add.reduceat(x * x, np.cumsum(many) - many), 1e-12)), many)
+    y = _segment_sums(v, w, x, many)
+    order = np.argsort(w.astype(np.uint16) if len(v) <= 1 << 16 else w, kind="stable")
+    w, x, row = w[order], x[order], np.repeat(np.arange(len(many)), many)[order]
+    at = np.flatnonzero(np.diff(w, prepend=-1))
+    total[w[at]] += _segment_sums(y, row, x, np.diff(np.append(at, len(w))))
+
+
+def latent_space(rows: DataFrame, items: list[list[int]], idf, n_passages: int):
+    """Loadings (features x rank) by randomised subspace iteration over all ``passage_rows``.
 
     Each iteration is one job: tasks multiply their passages with the broadcast
     basis and back and emit a feature-by-rank partial sum, rows of which are added
     up by feature.  The benchmark's own passages are stacked below with the weight
-    of the sample, so that rare items keep directions of their own.
+    of the corpus, so that rare items keep directions of their own.
     """
     import numpy as np
 
-    items, n = shared.value.items, len(idf)
+    spark, n = rows.sparkSession, len(idf)
     rank = max(1, min(RANK, LOADINGS // n, len(items)))
     basis = np.linalg.qr(np.random.default_rng(7).standard_normal((n, rank)))[0].astype(np.float32)
-    share = max(1, n_passages // FIT_PASSAGES)
-    sample = materialise(docs.where(F.pmod(F.xxhash64("doc_id", "version"), F.lit(share)) == 0).select("doc_id", "ids"), "svd-sample")
+    rows = rows.coalesce(2 * spark.sparkContext.defaultParallelism)  # a task sends a row a feature, however much it read
     at = np.concatenate([[0], np.cumsum([len(x) for x in items])])
     p, w, x = _tfidf(np.concatenate([np.array(i, np.int64) for i in items]), _passages(at)[0], idf)
-    x = x * np.sqrt(max(1.0, min(n_passages, FIT_PASSAGES) / len(items)))
+    x = x * np.sqrt(max(1.0, n_passages / len(items)))
+    weights = idf.astype(np.float32)
     for _ in range(POWER):
-        now = docs.sparkSession.sparkContext.broadcast(basis)
+        now = spark.sparkContext.broadcast((basis, weights))
 
         def run(batches, now=now):
-            v = now.value
-            total = np.zeros(v.shape, np.float32)
+            v, idf = now.value
+            total = np.zeros(v.shape)
             for batch in batches:
-                ids, at = _joined(batch)
-                if len(ids):
-                    some, rows = _product(*_tfidf(shared.value.features(ids), _passages(at)[0], idf), v)
-                    total[some] += rows
+                for lengths, features, tf in _rows_of(batch, len(v)):
+                    if len(lengths):
+                        _grow(total, lengths, features, tf, idf, v)
             some = np.flatnonzero(total.any(axis=1))
             for lo in range(0, len(some), 4096):
                 part = some[lo : lo + 4096]
                 offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * v.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.ListArray.from_arrays(offsets, pa.array(total[part].ravel()))], ["w", "row"])
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.ListArray.from_arrays(offsets, pa.array(total[part].astype(np.float32).ravel()))], ["w", "row"])
 
-        rows = sample.mapInArrow(run, "w long, row array<float>")
-        sums = rows.groupBy("w").agg(*(F.sum(F.element_at("row", k + 1)).alias(f"c{k}") for k in range(rank))).toArrow()  # a row a feature
+        found = rows.mapInArrow(run, "w long, row array<float>")
+        sums = found.groupBy("w").agg(*(F.sum(F.element_at("row", k + 1)).alias(f"c{k}") for k in range(rank))).toArrow()  # a row a feature
         some, own = _product(p, w, x, basis)
         grown = 1e-9 * np.random.default_rng(8).standard_normal(basis.shape)
         grown[some] += own
@@ -332,10 +400,11 @@ def _search(docs: DataFrame, bench: Benchmark) -> DataFrame:
         return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(bench)
     n_words = len(bench.vocabulary)
-    n_passages, frequency = passage_counts(docs, shared, n_words + BUCKETS)
-    idf = np.log((1 + n_passages) / (1 + frequency)) + 0.05
     with scratch(spark):
-        loads = latent_space(docs, shared, idf, n_passages) * idf[:, None].astype(np.float32)
+        rows = passage_rows(docs, shared, n_words + BUCKETS)
+        n_passages, frequency = passage_counts(rows, n_words + BUCKETS)
+        idf = np.log((1 + n_passages) / (1 + frequency)) + 0.05
+        loads = latent_space(rows, bench.items, idf, n_passages) * idf[:, None].astype(np.float32)
     found = spark.sparkContext.broadcast((loads, rare_words(bench.items, frequency[:n_words])))
 
     def search(batches):

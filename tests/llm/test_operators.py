@@ -552,3 +552,36 @@ def test_many_items_of_common_words_are_found(spark):
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {r.doc_id: (r.item_id, r.lcs, round(r.cosine, 9)) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
     assert got == {i: (20 * i, 1.0, 1.0) for i in range(60)}
+
+
+def test_decontamination_fits_on_the_whole_corpus(spark, monkeypatch):
+    """No constant takes passages out of the fit, and the loadings are those of all passages."""
+    rng = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(900)]
+    texts = [" ".join(rng.choice(words, int(rng.integers(0, 400)))) for _ in range(60)]
+    items = [" ".join(rng.choice(words, 90)) for _ in range(5)]
+    texts[3] += " " + items[2]
+    docs, benchmark = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = lambda: sorted((r.doc_id, r.item_id, round(r.cosine, 5)) for r in decontaminate.contaminated(docs, benchmark).collect())
+    want = found()
+    assert [r[:2] for r in want] == [(3, 2)]
+    monkeypatch.setattr(decontaminate, "FIT_PASSAGES", 1, raising=False)
+    assert found() == want
+    bench = decontaminate.load_benchmark(benchmark)
+    n = len(bench.vocabulary) + decontaminate.BUCKETS
+    rows = decontaminate.passage_rows(decontaminate.compact(docs, "doc_id", "text"), spark.sparkContext.broadcast(bench), n)
+    passages, counts = decontaminate.passage_counts(rows, n)
+    features = [bench.features(decontaminate.hashes_of(t))[lo : lo + 64] for t in texts for lo in range(0, len(t.split()), 64)]
+    assert passages == len(features) and (counts == np.bincount(np.concatenate([np.unique(f) for f in features]), minlength=n)).all()
+    idf = np.log((1 + passages) / (1 + counts)) + 0.05
+    a = np.zeros((passages + len(items) * 2, n))
+    for k, f in enumerate([*features, *(np.array(i)[lo : lo + 64] for i in bench.items for lo in (0, 64))]):
+        at, tf = np.unique(f, return_counts=True)
+        a[k, at] = (1 + np.log(tf)) * idf[at]
+        a[k] /= np.linalg.norm(a[k])
+    a[passages:] *= np.sqrt(max(1.0, passages / len(items)))
+    basis = np.linalg.qr(np.random.default_rng(7).standard_normal((n, 5)))[0]
+    for _ in range(decontaminate.POWER):
+        basis = np.linalg.qr(a.T @ (a @ basis))[0]
+    got = decontaminate.latent_space(rows, bench.items, idf, passages)
+    assert np.abs(got @ got.T @ basis - basis).max() < 1e-4
