@@ -654,3 +654,17 @@ def test_sparse_queries_split_words_once(spark, query, monkeypatch):
     monkeypatch.setattr(gram, "sparse_anova_totals", lambda rows, *a: made.append(rows) or totals(rows, *a))
     catalogue.QUERIES[query](spark, "/root/testdata/sf0.001")
     assert made and "documents.parquet" not in made[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_narrow_intersection_rounds_its_ties_by_the_exact_sum(spark):
+    """The form without branches gives, rounded, what the exact kernel gives, ties of the seventh digit and large numbers included."""
+    rng_ = np.random.default_rng(4)
+    cells = np.concatenate([rng_.integers(0, 2001, (60, 4)) * 5e-7, rng_.random((40, 4)), np.full((1, 4), 1e9 + 0.1), np.zeros((1, 4))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(cells)], "id long, features array<double>").cache()
+    found = gram.gram(df, df, "id", "intersection", to_six=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    pairs = plan.split("Join Cross")[0]
+    assert "abs((q0" in pairs and "least(" not in plan
+    a, b = df.select(F.col("id").alias("i"), F.col("features").alias("p")), df.select(F.col("id").alias("j"), F.col("features").alias("x"))
+    want = a.crossJoin(b).select("i", "j", F.round(kernels.column("intersection", F.col("p"), F.col("x")), 6).alias("k"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
