@@ -668,3 +668,18 @@ def test_narrow_intersection_rounds_its_ties_by_the_exact_sum(spark):
     a, b = df.select(F.col("id").alias("i"), F.col("features").alias("p")), df.select(F.col("id").alias("j"), F.col("features").alias("x"))
     want = a.crossJoin(b).select("i", "j", F.round(kernels.column("intersection", F.col("p"), F.col("x")), 6).alias("k"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_anova_matrix_works_in_tiles():
+    """Besides the result and powers of the rows it holds sums of a few rows alone, whatever the block."""
+    import tracemalloc
+
+    rng_ = np.random.default_rng(5)
+    x, p = rng_.standard_normal((5 * 64 + 7, 6)), rng_.standard_normal((500, 6))
+    for degree in (1, 2, 3, 4, 5):
+        tracemalloc.start()
+        got = kernels.anova_matrix(x, p, degree)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert np.allclose(got, kernels.anova_by_features(x, p, degree), atol=1e-9)
+        assert degree < 4 or peak < 6 * got.nbytes
