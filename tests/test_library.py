@@ -683,3 +683,19 @@ def test_anova_matrix_works_in_tiles():
         tracemalloc.stop()
         assert np.allclose(got, kernels.anova_by_features(x, p, degree), atol=1e-9)
         assert degree < 4 or peak < 6 * got.nbytes
+
+
+def test_pairs_need_decimals_next_to_ties_alone(spark, monkeypatch):
+    """Of rows a pair only those within the error of a double of a tie go the slow way, and all are rounded as by round()."""
+    rng_ = np.random.default_rng(6)
+    ties = (np.unique(rng_.integers(0, 10.0 ** np.arange(1, 15).repeat(200))) + 0.5) / 1e6
+    beside = np.concatenate([f for d in (np.inf, -np.inf) for f in (np.nextafter(ties, d), np.nextafter(np.nextafter(ties, d), d))])
+    plain = rng_.random(20000) * 16
+    frame = lambda x: spark.createDataFrame([(float(v),) for v in x], "v double")
+    every = np.concatenate([ties, beside, (np.arange(2000) + 0.4995) / 1e6, (np.arange(2000) + 0.5005) / 1e6, plain])
+    every = frame(np.concatenate([every, -every])).select(catalogue._r(F.col("v")).alias("a"), kernels.rounded(F.col("v")).alias("b"))
+    assert every.where("NOT (a <=> b)").count() == 0
+    with monkeypatch.context() as m:
+        m.setattr(kernels.F, "round", lambda c, digits: F.lit(-1.0))
+        slow = lambda x: frame(x).select(kernels.rounded(F.col("v")).alias("b")).where("b = -1").count()
+        assert slow(plain) == 0 and slow(ties) == len(ties)
