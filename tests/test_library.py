@@ -699,3 +699,21 @@ def test_pairs_need_decimals_next_to_ties_alone(spark, monkeypatch):
         m.setattr(kernels.F, "round", lambda c, digits: F.lit(-1.0))
         slow = lambda x: frame(x).select(kernels.rounded(F.col("v")).alias("b")).where("b = -1").count()
         assert slow(plain) == 0 and slow(ties) == len(ties)
+
+
+@pytest.mark.parametrize("kernel", ["hellinger", "all_subsets", "intersection"])
+def test_narrow_pairs_are_not_copied(spark, kernel, monkeypatch):
+    """Pairs are looked up by number, without a join that copies each; all are there, of repeated and null ids too, as from the nested loop of many rows."""
+    x = np.random.default_rng(7).random((130, 4))
+    df = spark.createDataFrame([(None if i % 50 == 3 else i // 2, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>").repartition(7)
+    q = df.where("id IS NULL OR id % 5 = 0").coalesce(3)
+    plan = lambda f: f._jdf.queryExecution().executedPlan().toString()
+    rows = lambda f: sorted(map(str, f.collect()))
+    found = gram.gram(df, q, "id", kernel, to_six=True)
+    assert "NestedLoop" not in plan(found) and "Cartesian" not in plan(found)
+    a, b = q.select(F.col("id").alias("i"), F.col("features").alias("p")), df.select(F.col("id").alias("j"), F.col("features").alias("x"))
+    want = a.crossJoin(b).select("i", "j", F.round(kernels.column(kernel, F.col("p"), F.col("x")), 6).alias("k"))
+    assert found.count() == q.count() * 130 and rows(found) == rows(want)
+    monkeypatch.setattr(gram, "BROADCAST_BYTES", 129 * 5 * 8)
+    many = gram.gram(df, q, "id", kernel, to_six=True)
+    assert "NestedLoop" in plan(many) and rows(many) == rows(want)
