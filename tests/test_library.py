@@ -685,6 +685,18 @@ def test_anova_matrix_works_in_tiles():
         assert degree < 4 or peak < 6 * got.nbytes
 
 
+def test_anova_matrix_takes_compressed_rows():
+    """Compressed rows, more than a tile of them and rows without non-zeros included, give what the same rows as a matrix give."""
+    rng_ = np.random.default_rng(8)
+    x, p = np.where(rng_.random((2 * kernels.TILE + 5, 12)) < 0.6, 0.0, rng_.standard_normal((2 * kernels.TILE + 5, 12))), rng_.standard_normal((9, 12))
+    x[3] = x[kernels.TILE] = 0.0
+    rows, cols = np.nonzero(x)
+    sparse = Csr(np.concatenate([[0], np.cumsum((x != 0).sum(1))]), cols, x[rows, cols], 12)
+    assert np.array_equal(sparse[60:70].toarray(), x[60:70]) and sparse[5:5].shape == (0, 12)
+    for degree in (1, 2, 3, 4):
+        assert np.allclose(kernels.anova_matrix(sparse, p, degree), kernels.anova_by_features(x, p, degree), atol=1e-9)
+
+
 def test_pairs_need_decimals_next_to_ties_alone(spark, monkeypatch):
     """Of rows a pair only those within the error of a double of a tie go the slow way, and all are rounded as by round()."""
     rng_ = np.random.default_rng(6)
