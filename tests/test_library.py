@@ -729,3 +729,17 @@ def test_narrow_pairs_are_not_copied(spark, kernel, monkeypatch):
     monkeypatch.setattr(gram, "BROADCAST_BYTES", 129 * 5 * 8)
     many = gram.gram(df, q, "id", kernel, to_six=True)
     assert "NestedLoop" in plan(many) and rows(many) == rows(want)
+
+
+@pytest.mark.parametrize("kernel", ["all_subsets"])
+def test_numbered_pairs_come_in_strips_of_queries(spark, kernel, monkeypatch):
+    """Rows a pair leave in strips of a few queries, so that written ids repeat nearby; all pairs are there, of a last, narrower strip too."""
+    monkeypatch.setattr(gram, "STRIP", 8, raising=False)
+    x = np.random.default_rng(9).random((60, 4))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>")
+    for n in (3, 32, 37):
+        found = gram.gram(df, df.where(f"id < {n}"), "id", kernel, to_six=True).collect()
+        want = np.round(kernels.matrix(kernel, x[:n], x), 6)
+        assert sorted((r.i, r.j) for r in found) == [(i, j) for i in range(n) for j in range(60)]
+        assert all(abs(r.k - want[r.i, r.j]) <= 1.01e-6 for r in found)
+        assert all(len({r.i for r in found[lo : lo + 32]}) <= 16 for lo in range(len(found)))
