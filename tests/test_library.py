@@ -731,7 +731,7 @@ def test_narrow_pairs_are_not_copied(spark, kernel, monkeypatch):
     assert "NestedLoop" in plan(many) and rows(many) == rows(want)
 
 
-@pytest.mark.parametrize("kernel", ["all_subsets", "chi_square", "intersection"])
+@pytest.mark.parametrize("kernel", ["all_subsets", "chi_square", "intersection", "hellinger"])
 def test_numbered_pairs_come_in_strips_of_queries(spark, kernel, monkeypatch):
     """Rows a pair leave in strips of a few queries, so that written ids repeat nearby; all pairs are there, of a last, narrower strip too."""
     monkeypatch.setattr(gram, "STRIP", 8, raising=False)
