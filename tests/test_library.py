@@ -745,17 +745,19 @@ def test_numbered_pairs_come_in_strips_of_queries(spark, kernel, monkeypatch):
         assert all(len({r.i for r in found[lo : lo + 32]}) <= 16 for lo in range(len(found)))
 
 
-def test_numbered_pairs_meet_alike_rows_in_turn(spark, monkeypatch):
+@pytest.mark.parametrize("kernel", ["intersection", "chi_square"])
+def test_numbered_pairs_meet_alike_rows_in_turn(spark, kernel, monkeypatch):
     """Rows and queries are numbered by their features, not by ids; a task has a limited number of pairs; none is lost or doubled."""
     monkeypatch.setattr(gram, "STRIP", 8)
     monkeypatch.setattr(gram, "TASK_PAIRS", 50, raising=False)
     rng_ = np.random.default_rng(10)
     x = rng_.integers(0, 4, (60, 3)) / 4.0
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>").repartition(5)
-    found = gram.gram(df, df.where("id % 3 = 0"), "id", "intersection", to_six=True)
+    found = gram.gram(df, df.where("id % 3 = 0"), "id", kernel, to_six=True)
     assert found.rdd.getNumPartitions() >= 60 * 20 / 50
-    got = found.collect()
-    assert sorted((r.i, r.j, r.k) for r in got) == sorted((i, j, float(np.minimum(x[i], x[j]).sum())) for i in range(0, 60, 3) for j in range(60))
+    got, want = found.collect(), kernels.matrix(kernel, x, x)
+    assert sorted((r.i, r.j) for r in got) == [(i, j) for i in range(0, 60, 3) for j in range(60)]
+    assert all(abs(r.k - want[r.i, r.j]) <= 5.1e-7 for r in got)
     for lo, width in ((0, 8), (8 * 60, 8), (16 * 60, 4)):
         strip = got[lo : lo + width * 60]
         rows, queries = [tuple(x[r.j]) for r in strip[::width]], [tuple(x[r.i]) for r in strip[:width]]
