@@ -745,7 +745,7 @@ def test_numbered_pairs_come_in_strips_of_queries(spark, kernel, monkeypatch):
         assert all(len({r.i for r in found[lo : lo + 32]}) <= 16 for lo in range(len(found)))
 
 
-@pytest.mark.parametrize("kernel", ["intersection", "chi_square"])
+@pytest.mark.parametrize("kernel", ["intersection", "chi_square", "hellinger"])
 def test_numbered_pairs_meet_alike_rows_in_turn(spark, kernel, monkeypatch):
     """Rows and queries are numbered by their features, not by ids; a task has a limited number of pairs; none is lost or doubled."""
     monkeypatch.setattr(gram, "STRIP", 8)
