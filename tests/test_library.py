@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -772,3 +773,34 @@ def test_written_intersections_repeat_nearby(spark, tmp_path):
     gram.gram(df, df.where("id % 10 = 0"), "id", "intersection", to_six=True).write.parquet(str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).distinct().count() == 900_000
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 2 * 900_000
+
+
+@pytest.mark.parametrize("kernel", ["chi_square", "hellinger"])
+def test_copies_of_bases_meet_base_by_base(spark, kernel, monkeypatch, tmp_path):
+    """Rows alike but for one feature, as of a table grown with new keys: a query meets all copies of a row in turn; all pairs are there, of repeated and null ids too."""
+    for name, value in (("COPIED_PAIRS", 1), ("COPIES", 16), ("BASE_TASK_PAIRS", 20_000)):
+        monkeypatch.setattr(gram, name, value, raising=False)
+    base = np.random.default_rng(12).random((20, 3))
+    cells = [(None if i % 350 == 7 else i % 590, [*base[i % 20, :2].tolist(), i * 18 % 97 / 97, float(base[i % 20, 2])]) for i in range(600)]
+    df = spark.createDataFrame([*cells, (601, [0.0] * 4), (602, [-0.0, 0.0, 0.5, 0.0])], "id long, features array<double>").repartition(5).cache()
+    q = df.where("id IS NULL OR id % 4 = 0").cache()
+    gram.gram(df, q, "id", kernel, to_six=True).write.parquet(str(tmp_path / "out"))
+    found = spark.read.parquet(str(tmp_path / "out"))
+    a, b = q.select(F.col("id").alias("i"), F.col("features").alias("p")), df.select(F.col("id").alias("j"), F.col("features").alias("x"))
+    want = a.crossJoin(b).select("i", "j", F.round(kernels.column(kernel, F.col("p"), F.col("x")), 6).alias("k"))
+    assert found.count() == q.count() * 602 and found.exceptAll(want).count() == 0
+    turns = files = 0
+    for path in (tmp_path / "out").glob("*.parquet"):
+        i = np.array([-1 if v is None else v for v in pq.read_table(path)["i"].to_pylist()])
+        turns, files = turns + 1 + np.count_nonzero(np.diff(i)), files + 1
+    assert turns <= q.count() * 22 + files and files >= q.count() * 602 / 20_000
+
+
+def test_copies_of_one_large_base_are_numbered_pairs(spark, monkeypatch):
+    """Where one pair of bases would be more than a task's work, pairs are dealt by their numbers, and all are there."""
+    for name, value in (("COPIED_PAIRS", 1), ("COPIES", 16), ("TASK_PAIRS", 1000)):
+        monkeypatch.setattr(gram, name, value, raising=False)
+    df = spark.createDataFrame([(i, [0.25, 0.5 if i < 190 else i / 200, i * 18 % 97 / 97]) for i in range(200)], "id long, features array<double>")
+    found = gram.gram(df, df.where("id % 4 = 0"), "id", "hellinger", to_six=True)
+    assert "x_copies" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.i, r.j) for r in found.collect()) == [(i, j) for i in range(0, 200, 4) for j in range(200)]
